@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import language_id
+from statloom.llm import language_id, sentencepiece_bpe
 from statloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.sentencepiece_query(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_query(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_language_id,)}
+    return {f.__name__: f for f in (op3_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
