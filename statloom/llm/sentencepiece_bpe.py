@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -33,6 +34,9 @@ MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Chunks kept by a worker, and the longest one that is kept.
 CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
+#: Answers about pairs of tokens that a worker keeps.
+CACHE_PAIRS = 1_500_000
+NEVER = float("-inf")
 
 
 @dataclass(frozen=True)
@@ -72,11 +76,16 @@ class PrefixTable:
         self.id_of = {p: k for k, (p, n) in enumerate(zip(vocabulary.pieces, vocabulary.normal, strict=True)) if n}
         self.score_of = {p: vocabulary.scores[k] for p, k in self.id_of.items()}
         self.letters = {c for p in self.id_of for c in p}
-        #: Tokens of the table: pieces that encode to themselves, and letters without a piece.
+        #: Tokens of the table: pieces that encode to themselves, and letters without a
+        #: piece. Of each: its ids as text, whether its merges come in falling order of
+        #: score, and the symbols at its left and right end in order of time, each with
+        #: the score of the merge that ends it.
         self.tokens: list[str] = []
+        self.size: list[int] = []
+        self.ids: list[list[int]] = []
         self.ordered: list[bool] = []
-        self.left: list[list[tuple[str, float]]] = []
-        self.right: list[list[tuple[str, float]]] = []
+        self.left: list[tuple[list[str], list[float]]] = []
+        self.right: list[tuple[list[str], list[float]]] = []
         self.automaton = ahocorasick.Automaton()
         for text in sorted({*self.id_of, *self.letters}):
             parts, merges = self._merge(text)
@@ -85,10 +94,14 @@ class PrefixTable:
             times = [s for s, _, _ in merges]
             self.automaton.add_word(text, (len(text), len(self.tokens)))
             self.tokens.append(text)
+            self.size.append(len(text))
+            self.ids.append([self.id_of[text]] if text in self.id_of else self._bytes(text))
             self.ordered.append(all(a > b for a, b in zip(times, times[1:], strict=False)))
-            self.left.append([(text[0], float("inf")), *((p, s) for s, at, p in merges if at == 0)])
-            self.right.append([(text[-1], float("inf")), *((p, s) for s, at, p in merges if at + len(p) == len(text))])
+            for side, end in ((self.left, text[0]), (self.right, text[-1])):
+                own = [(s, p) for s, at, p in merges if (at == 0 if side is self.left else at + len(p) == len(text))]
+                side.append(([end, *(p for _, p in own)], [*(s for s, _ in own), NEVER]))
         self.automaton.make_automaton()
+        self.spoken = [p.replace(MARK, " ") if n else "" for p, n in zip(vocabulary.pieces, vocabulary.normal, strict=True)]
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
 
@@ -115,28 +128,28 @@ class PrefixTable:
         # Both tokens' merges come in falling order of score, so time is score. Walk
         # through the states of the two symbols that touch the border; the border falls
         # when joining them would come before the next merge on either side.
-        u, v, i, j = self.right[a], self.left[b], 0, 0
+        (u, end_u), (v, end_v), score = self.right[a], self.left[b], self.score_of.get
+        i = j = 0
         while True:
-            then_u = u[i + 1][1] if i + 1 < len(u) else None
-            then_v = v[j + 1][1] if j + 1 < len(v) else None
-            across = self.score_of.get(u[i][0] + v[j][0])
-            if across is not None and (then_u is None or across > then_u) and (then_v is None or across >= then_v):
+            next_u, next_v = end_u[i], end_v[j]
+            across = score(u[i] + v[j])
+            if across is not None and across > next_u and across >= next_v:
                 return False
-            if then_u is None and then_v is None:
-                return True
-            if then_v is None or (then_u is not None and then_u >= then_v):
+            if next_u >= next_v:
+                if next_u == NEVER:
+                    return True
                 i += 1
             else:
                 j += 1
 
     def _tokens(self, text: str) -> list[int]:
         """Tokens of a text whose characters all occur in pieces."""
-        last, pairs, width = [-1] * (len(text) + 1), self.pairs, len(self.tokens)
-        for end, (size, token) in self.automaton.iter(text):
+        last, pairs, width, size = [-1] * (len(text) + 1), self.pairs, len(self.tokens), self.size
+        for end, (length, token) in self.automaton.iter(text):
             end += 1
             if last[end] >= 0:
                 continue
-            start = end - size
+            start = end - length
             if start:
                 before = last[start]
                 if before < 0:
@@ -144,7 +157,7 @@ class PrefixTable:
                 key = before * width + token
                 fits = pairs.get(key)
                 if fits is None:
-                    if len(pairs) > 500_000:
+                    if len(pairs) > CACHE_PAIRS:
                         pairs.clear()
                     fits = pairs[key] = self.compatible(before, token)
                 if not fits:
@@ -152,45 +165,37 @@ class PrefixTable:
             last[end] = token
         out, at = [], len(text)
         while at:
-            out.append(last[at])
-            at -= len(self.tokens[last[at]])
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
 
     def _bytes(self, text: str) -> list[int]:
         return [self.v.byte_ids[b] for b in text.encode("utf-8", "replace")]
 
     def encode_chunk(self, chunk: str) -> list[int]:
+        if self.letters.issuperset(chunk):
+            return [k for token in self._tokens(chunk) for k in self.ids[token]]
         ids: list[int] = []
-        known = self.letters.__contains__
-        at, n = 0, len(chunk)
-        while at < n:
-            to = at
-            while to < n and known(chunk[to]):
-                to += 1
-            if to > at:
-                for token in self._tokens(chunk[at:to]):
-                    text = self.tokens[token]
-                    own = self.id_of.get(text)
-                    ids += self._bytes(text) if own is None else [own]
-            at = to
-            while to < n and not known(chunk[to]):
-                to += 1
-            if to > at:
-                ids += self._bytes(chunk[at:to])
-            at = to
+        for known, run in groupby(chunk, self.letters.__contains__):
+            text = "".join(run)
+            ids += [k for token in self._tokens(text) for k in self.ids[token]] if known else self._bytes(text)
         return ids
 
     def decode_chunk(self, ids: list[int]) -> str:
+        normal, spoken = self.v.normal, self.spoken
+        if all([normal[k] for k in ids]):
+            return "".join([spoken[k] for k in ids])
         out, run = [], bytearray()
         for k in ids:
-            piece = self.v.pieces[k]
-            if not self.v.normal[k] and len(piece) == 6:
-                run.append(int(piece[3:5], 16))
+            if not normal[k] and len(self.v.pieces[k]) == 6:
+                run.append(int(self.v.pieces[k][3:5], 16))
                 continue
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run = bytearray()
-            out.append(piece.replace(MARK, " "))
+            out.append(spoken[k])
         if run:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
