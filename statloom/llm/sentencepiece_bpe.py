@@ -18,6 +18,7 @@ an empty one, and an empty text has no ids and decodes to an empty text.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from dataclasses import dataclass
@@ -102,8 +103,12 @@ class PrefixTable:
                 side.append(([end, *(p for _, p in own)], [*(s for s, _ in own), NEVER]))
         self.automaton.make_automaton()
         self.spoken = [p.replace(MARK, " ") if n else "" for p, n in zip(vocabulary.pieces, vocabulary.normal, strict=True)]
-        self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[str, str]] = {}
+        self.id_text = [str(k) for k in range(len(vocabulary.pieces))]
+        #: One id for each token, or -1 where a letter has no piece.
+        self.one_id = [i[0] if t in self.id_of else -1 for t, i in zip(self.tokens, self.ids, strict=True)]
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.tokens]
+        self.pair_count = 0
+        self.words: dict[str, tuple[str, str]] = {}
 
     def _merge(self, text: str) -> tuple[list[str], list[tuple[float, int, str]]]:
         """BPE as defined: join the neighbours with the best score, the leftmost first.
@@ -144,7 +149,7 @@ class PrefixTable:
 
     def _tokens(self, text: str) -> list[int]:
         """Tokens of a text whose characters all occur in pieces."""
-        last, pairs, width, size = [-1] * (len(text) + 1), self.pairs, len(self.tokens), self.size
+        last, pairs, size = [-1] * (len(text) + 1), self.pairs, self.size
         for end, (length, token) in self.automaton.iter(text):
             end += 1
             if last[end] >= 0:
@@ -154,12 +159,13 @@ class PrefixTable:
                 before = last[start]
                 if before < 0:
                     continue
-                key = before * width + token
-                fits = pairs.get(key)
+                fits = pairs[token].get(before)
                 if fits is None:
-                    if len(pairs) > CACHE_PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.compatible(before, token)
+                    self.pair_count += 1
+                    if self.pair_count > CACHE_PAIRS:
+                        self.pairs = pairs = [{} for _ in self.tokens]
+                        self.pair_count = 1
+                    fits = pairs[token][before] = self.compatible(before, token)
                 if not fits:
                     continue
             last[end] = token
@@ -201,25 +207,34 @@ class PrefixTable:
         return "".join(out)
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
-        """(ids joined by commas, decoded text) of one chunk, from the cache if it is there."""
-        kept = self.chunks.get(chunk)
-        if kept is None:
+        """(ids joined by commas, decoded text) of one chunk."""
+        ids = None
+        if self.letters.issuperset(chunk):
+            one = self.one_id
+            ids = [one[t] for t in self._tokens(chunk)]
+        if ids is None or -1 in ids:
             ids = self.encode_chunk(chunk)
-            kept = ",".join(map(str, ids)), self.decode_chunk(ids)
-            if len(chunk) <= CACHE_CHARS:
-                if len(self.chunks) >= CACHE_CHUNKS:
-                    self.chunks.clear()
-                self.chunks[chunk] = kept
-        return kept
+            return ",".join(map(str, ids)), self.decode_chunk(ids)
+        spell, speak = self.id_text, self.spoken
+        return ",".join([spell[k] for k in ids]), "".join([speak[k] for k in ids])
+
+    def _word(self, word: str) -> tuple[str, str]:
+        """A word after one blank, which becomes part of the cache."""
+        made = self._chunk(MARK + word)
+        if len(word) <= CACHE_CHARS:
+            if len(self.words) >= CACHE_CHUNKS:
+                self.words.clear()
+            self.words[word] = made
+        return made
 
     def _parts(self, text: str) -> list[tuple[str, str]]:
-        get = self._chunk
         if not text:
             return []
         words = text.split(" ")
         if MARK not in text and "" not in words:
-            return [get(MARK + w) for w in words]
-        return [get(c) for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+            kept, make = self.words.get, self._word
+            return [kept(w) or make(w) for w in words]
+        return [self._chunk(c) for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
     def encode(self, text: str) -> list[int]:
         return [int(k) for ids, _ in self._parts(text) for k in ids.split(",")]
@@ -276,7 +291,11 @@ def encode_digests(docs: DataFrame, model_path: str, text_col: str = "text") ->
 
     def make(column: pa.Array) -> list:
         table = _table(share.value)
-        rows = [table.digest(t) for t in _texts(column)]
+        gc.disable()  # nothing here makes cycles, and the caches are slow to search for them
+        try:
+            rows = [table.digest(t) for t in _texts(column)]
+        finally:
+            gc.enable()
         return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
