@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import fingerprints, language_id, licenses, secrets, sentencepiece_bpe, toxicity
+from statloom.llm import fingerprints, language_id, licenses, secrets, sentencepiece_bpe, substring, topk, toxicity
 from statloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk_query(table(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses_query(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.sentencepiece_query(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_query(table(spark, sf_dir, "documents"))
 
@@ -37,8 +45,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_license_scan, op3_sentencepiece, op5_secret_scan, op8_fingerprints, op9_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_sentencepiece, op4_substring_dedup, op5_secret_scan, op8_fingerprints, op9_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": topk.TOPK_SQL, "op4_substring_dedup": substring.DEDUP_SQL}
