@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import fingerprints, jaccard_join, language_id, licenses, secrets, sentencepiece_bpe, substring, topk, toxicity
+from statloom.llm import fingerprints, jaccard_join, language_id, licenses, mixing, secrets, sentencepiece_bpe, substring, topk, toxicity
 from statloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_query(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_query(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_sentencepiece, op4_substring_dedup, op5_secret_scan, op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_sentencepiece, op4_substring_dedup, op5_secret_scan, op6_mixing, op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
