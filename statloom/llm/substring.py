@@ -85,7 +85,7 @@ def _first_pass(span: int, gram: int, buckets: int):
             shared = (np.bincount(group) > 1)[group] if len(token) else first
             # known here: the token stands in several of the batch's documents
             for k, mine in split_by(own[shared], token[shared]):
-                rows.add(_FLAG, bucket=int(th[k] % buckets), doc_id=ids[k], th=int(th[k]), a=mine)
+                rows.add(_FLAG, bucket=ids[k] % buckets, doc_id=ids[k], th=int(th[k]), a=mine)
             # to be found out: one entry for each token, -1 where the batch shares it
             own = np.where(shared, -1, own)[first]
             token = token[first]
@@ -150,7 +150,7 @@ def _windows(span: int, gram: int, buckets: int):
             least = number[own[first]][np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
             late = number[own] > least
             for k, mine in split_by(own[late], pos[late]):
-                rows.add(_DONE, bucket=int(th[k] % buckets), doc_id=int(number[k]), th=int(th[k]), a=mine)
+                rows.add(_DONE, bucket=int(number[k] % buckets), doc_id=int(number[k]), th=int(th[k]), a=mine)
             h, check, own, pos = h[~late], check[~late], own[~late], pos[~late]
             packed = np.stack([own, pos.astype(np.int64)], axis=1)
             for bucket, a, b, c in split_by((h % np.uint64(buckets)).astype(np.int64), h, check, packed):
