@@ -178,8 +178,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced)."""
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its probability (columns of those names are replaced)."""
     share = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages numbers
 
     def make(column: pa.Array) -> list:
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             score += b
         return [lang, score]
 
-    return with_arrow_columns(docs, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
+    return with_arrow_columns(docs, text_col, [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], make)
 
 
 def language_query(docs: DataFrame) -> DataFrame:
@@ -206,5 +206,5 @@ def keep_identified(docs: DataFrame, threshold: float = 0.3) -> DataFrame:
     model = fit(docs)
     names = docs.columns
     marked = docs.select("*", F.col("text").alias("__text"))
-    scored = identify(marked, model, "__text")
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= threshold)).select(*[f"`{c}`" for c in names])
+    scored = identify(marked, model, "__text", ("__lang", "__score"))
+    return scored.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= threshold)).select(*[f"`{c}`" for c in names])

@@ -191,6 +191,6 @@ def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def thin(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mixed corpus without repeats: a document stays when its rate says so (from
     rate 1 on always). Columns are unchanged."""
-    names = docs.columns
-    rows = mix(docs.withColumn("__id", F.col("doc_id")).withColumn("__text", F.col("text")), fit(docs, labels), "__id", "__text")
-    return rows.filter("copies > 0").select(*[f"`{c}`" for c in names])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # any names it may have
+    rows = mix(docs.select(row, F.col("doc_id").alias("__id"), F.col("text").alias("__text")), fit(docs, labels), "__id", "__text")
+    return rows.filter("copies > 0").select("__row.*")

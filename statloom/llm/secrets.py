@@ -103,15 +103,15 @@ def scan(docs: DataFrame, text_col: str = "text", source_col: str = "source", ex
     marked = docs.select(*keep).withColumn("spans", candidate_spans(F.coalesce(F.col(text_col), F.lit(""))))
     clean = marked.filter(F.size("spans") == 0).withColumn("live", F.expr("cast(array() as array<string>)"))
     # only rows with a candidate need the corpus; their number and place are fixed here
-    held = materialize(marked.filter(F.size("spans") > 0).withColumn("__row", F.monotonically_increasing_id()), "secrets")
+    held = materialize(marked.filter(F.size("spans") > 0).withColumn("__key", F.monotonically_increasing_id()), "secrets")
     counts = ownership(held, source_col)
-    each = held.select("__row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value")).withColumn("hash", F.sha2("value", 256))
+    each = held.select("__key", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value")).withColumn("hash", F.sha2("value", 256))
     live = (
         each.join(counts, "hash")
         .filter((F.col("owners") < example_owners) & ~F.col("value").rlike(PLACEHOLDER))
-        .groupBy("__row").agg(F.sort_array(F.collect_set("value")).alias("live"))
+        .groupBy("__key").agg(F.sort_array(F.collect_set("value")).alias("live"))
     )
-    judged = held.join(live, "__row", "left").select(*keep, "spans", F.coalesce("live", F.expr("cast(array() as array<string>)")).alias("live"))
+    judged = held.join(live, "__key", "left").select(*keep, "spans", F.coalesce("live", F.expr("cast(array() as array<string>)")).alias("live"))
     return clean.select(*keep, "spans", "live").unionByName(judged)
 
 
@@ -130,8 +130,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with live-looking values replaced by a mark; copied examples and all other
     text stay. ``n_chars`` follows the text."""
     names = docs.columns
-    found = scan(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")  # any names it may have
+    found = scan(docs.select(row, F.col("text"), F.col("source")))
     longest = F.array_sort("live", lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.size("live") > 0, F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit("[secret]")))).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.size("live") > 0, F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("n_chars"))}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
+    new = {"text": text, "n_chars": F.when(F.size("live") > 0, F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("__row.n_chars") if "n_chars" in names else F.lit(None))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`") for c in names])
