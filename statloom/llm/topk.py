@@ -34,36 +34,45 @@ def _matrix(column: pd.Series, scale: float) -> np.ndarray:
     return np.floor(np.stack([np.asarray(v, np.float64) for v in column]) * scale)
 
 
-def threshold_search(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best candidates of one block for one query: (ids, scores), best first.
-
-    ``order[:, d]`` lists the candidates by rising component d. Candidates are in order of
-    id, so that a stable sort by score settles ties."""
-    n = len(ids)
-    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    dims = np.concatenate([up, down])
-    lists = np.concatenate([order[::-1, up], order[:, down]], axis=1)
-    own = ids != query_id
-    met = ~own
-    best_at, best = np.zeros(0, np.int64), np.zeros(0)
-    at, width = 0, ROUND
-    while at < n and len(dims):
-        to = min(n, at + width)
-        fresh = np.unique(lists[at:to])
-        fresh = fresh[~met[fresh]]
-        met[fresh] = True
-        score = rows[fresh] @ query
-        best_at, best = np.concatenate([best_at, fresh]), np.concatenate([best, score])
-        keep = np.lexsort((best_at, -best))[:k]
-        best_at, best = best_at[keep], best[keep]
-        bound = float((rows[lists[to - 1], np.arange(rows.shape[1])[dims]] * query[dims]).sum())
-        if len(best) == k and best[-1] > bound:
-            break
-        at, width = to, 2 * width
-    if not len(dims):
-        best_at = np.flatnonzero(own)[:k]
-        best = np.zeros(len(best_at))
-    return ids[best_at], best
+class Lists:
+    """One block's candidates, by rising id, with a sorted list for each dimension."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+        self.up = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.take_along_axis(rows.T, self.up, axis=1)
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best candidates for one query: (ids, scores), best first; ties by id."""
+        n = len(self.ids)
+        high, low = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        own = self.ids != query_id
+        if not len(high) and not len(low):
+            best_at = np.flatnonzero(own)[:k]
+            return self.ids[best_at], np.zeros(len(best_at))
+        met = ~own
+        best_at, best = np.zeros(0, np.int64), np.zeros(0)
+        at, width = 0, ROUND
+        while at < n:
+            to = min(n, at + width)
+            now = met.copy()
+            now[self.up[high, n - to : n - at]] = True
+            now[self.up[low, at:to]] = True
+            fresh = np.flatnonzero(now & ~met)
+            met = now
+            # looking up a large part of the block costs more row by row than at once
+            score = (self.rows @ query)[fresh] if 4 * len(fresh) > n else self.rows[fresh] @ query
+            if len(best) == k:
+                better = score >= best[-1]
+                fresh, score = fresh[better], score[better]
+            best_at, best = np.concatenate([best_at, fresh]), np.concatenate([best, score])
+            keep = np.lexsort((best_at, -best))[:k]
+            best_at, best = best_at[keep], best[keep]
+            bound = float(self.values[high, n - to] @ query[high] + self.values[low, to - 1] @ query[low])
+            if (len(best) == k and best[-1] > bound) or met.all():
+                break
+            at, width = to, 2 * width
+        return self.ids[best_at], best
 
 
 def _exact(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
@@ -100,9 +109,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             a = a.sort_values("id", kind="stable")
             ids, matrix, wanted = a["id"].to_numpy(), _matrix(a["v"], scale), _matrix(b["v"], scale)
             small = float(np.abs(matrix).max()) * float(np.abs(wanted).max()) * matrix.shape[1] < 2.0**53
-            order = np.argsort(matrix, axis=0, kind="stable") if small else None
+            lists = Lists(ids, matrix) if small else None
             for query_id, tag, query in zip(b["id"].to_numpy(), b["tag"].to_numpy(), wanted, strict=True):
-                found, score = threshold_search(ids, matrix, query_id, query, order, k) if small else _exact(ids, matrix, query_id, query, k)
+                found, score = lists.search(query_id, query, k) if small else _exact(ids, matrix, query_id, query, k)
                 out += [(int(query_id), int(tag), int(i), int(s)) for i, s in zip(found, score, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "tag", "vec_id", "score"])
 
