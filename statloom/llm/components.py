@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's edge to its own smallest neighbour stays, else two stars could part
-        large = large.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        large = large.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
