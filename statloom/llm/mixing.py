@@ -1,19 +1,25 @@
 """Mixing sources to target weights by soft membership; DataFrame functions only.
 
 A naive-Bayes classifier over binned text features learns domains from a labelled table
-and gives every document posteriors over the domains. Document rates r >= 0 then
-minimise
+and gives every document posteriors over the domains. One feature counts word beginnings
+that are learnt from all labelled rows: those that come back within toxic texts far more
+than within others. Document rates r in [0, most] are the nearest to 1,
 
-    1/2 sum_d (sum_i r_i t_i p_id - T_d)^2 / T^2 + penalty/2 sum_i t_i (r_i - 1)^2 / T
+    min 1/2 sum_i t_i (r_i - 1)^2   where   sum_i r_i t_i p_id = T_d for each domain d
 
-(t tokens, p posteriors, T_d targets, T their sum) by projected gradient steps from r = 1.
-A gradient needs the documents only through the domains' expected totals, one small
-aggregate a step; documents with equal features have equal rates, so the steps run over
-the table of distinct features. A document's rate is a function of its posteriors and
-the steps' totals and is computed in its own row: no join, no shuffle of texts.
+(t tokens, p posteriors, T_d targets). The multipliers of the domains are found by lazily
+projected gradient steps, each scaled by the domains' curvature, until every domain's
+expected total is within ``tol`` of its target (relative); ``Mixture`` holds wanted and
+achieved totals and whether they met, and a warning tells when they did not. A step needs
+the documents only through a few sums over the table of distinct features. A rate is a
+function of a document's posteriors and is computed in its own row: no shuffle of texts
+but the one that brings labels to texts for the word beginnings.
 
 Targets: the weights times a total at which the domain with the largest weight is wanted
-``headroom`` more than there is, so its documents are never thinned out.
+``headroom`` more than there is. With ``most`` (``thin``: 1, no repeats) the total is free
+and the shares are the targets. Where the posteriors cannot meet the targets, or only by
+dropping half of the main domain, the gaps to totals that keep the main domain cost their
+square instead, less until half of it stays, and the warning is given.
 
 Defined results: a null or empty text has no tokens; without labelled rows there is one
 domain, "all", and every rate is 1. Labels that are null are passed over; repeated
@@ -24,9 +30,11 @@ document teaches nothing.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +44,9 @@ from statloom.llm.common import materialize
 WEIGHTS = {"clean": 0.93, "low": 0.06, "toxic": 0.01}
 BINS = 24
 _INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "jerk")
-FEATURES = ("length", "non_ascii", "shouting", "lines", "signs", "insults")
+FEATURES = ("length", "non_ascii", "shouting", "lines", "signs", "insults", "repeats", "marks")
+#: Letters of a word beginning, and how many beginnings are learnt at most.
+BEGIN, MARKS = 5, 24
 
 
 def _bin(x: Column) -> Column:
@@ -48,14 +58,18 @@ def token_count(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def features(text: Column) -> Column:
+def features(text: Column, marks: tuple[str, ...] = ()) -> Column:
     """The binned features of a text, one small integer for each of FEATURES."""
     size = F.greatest(F.length(text), F.lit(1))
     many = lambda *signs: reduce(lambda a, b: a + b, [F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))) for s in signs])
     found = reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in _INSULTS])
+    middle = F.substring(text, (size / 2).cast("int") + 1, F.lit(10))
+    again = F.length(text) - F.length(F.replace(text, middle, F.lit("")))
+    marked = reduce(lambda a, b: a + b, [(F.length(text) - F.length(F.replace(text, F.lit(f" {w}"), F.lit("")))) / F.lit(len(w) + 1) for w in marks], F.lit(0.0))
     return F.array(
         _bin(F.log2(size) * 1.5), _bin((F.octet_length(text) - F.length(text)) / size * 100), _bin(many("!") / size * 100),
         _bin(many("\n") / size * 1000), _bin(many("*", "$", "#", "%", "&", "|") / size * 100), _bin(found),
+        _bin(again / size * 20), _bin(marked),
     )
 
 
@@ -63,6 +77,18 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality.isNotNull() | toxic.isNotNull(), "clean")
 
 
+def learn_marks(docs: DataFrame, labels: DataFrame, domain: str = "toxic") -> tuple[str, ...]:
+    """Word beginnings that come back within texts of ``domain``: in 8 of its labelled
+    texts at least, and in as many of them as of all other labelled texts."""
+    # docs (id, text), labels (id, domain); all labelled rows are read
+    words = F.filter(F.split("text", " "), lambda w: F.length(w) >= BEGIN)
+    begins = F.sort_array(F.transform(words, lambda w: F.left(w, F.lit(BEGIN))))
+    twice = lambda a: F.array_distinct(F.filter(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()))
+    each = docs.join(labels.filter("domain is not null"), "id").select((F.col("domain") == domain).alias("of"), F.explode(F.get(F.transform(F.array(begins), twice), F.lit(0))).alias("begin"))
+    found = each.groupBy("begin").agg(F.count_if("of").alias("inside"), F.count_if(~F.col("of")).alias("outside")).filter("inside >= 8 and inside >= outside")
+    return tuple(r["begin"] for r in found.orderBy(F.desc(F.expr("inside - outside")), "begin").limit(MARKS).collect())
+
+
 @dataclass
 class Posterior:
     """log prior and log likelihoods by domain, feature and bin: a table of fixed size."""
@@ -98,21 +124,17 @@ def fit_domains(rows: DataFrame, labels: DataFrame) -> Posterior:
 
 @dataclass
 class Rates:
-    """Gradient steps: each is the domains' relative excess at that step."""
+    """Rates as a function of posteriors: base + slopes . p, cut to [0, most]."""
 
-    steps: list[list[float]]
-    size: float
-    penalty: float
+    base: float = 1.0
+    slopes: list[float] = field(default_factory=list)
+    most: float = math.inf
 
-    def column(self, posterior: Column) -> Column:
-        if not self.steps:
-            return F.lit(1.0)
+    def line(self, posterior: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.get(posterior, F.lit(d)) * F.lit(float(s)) for d, s in enumerate(self.slopes)], F.lit(float(self.base)))
 
-        def step(r: Column, excess: Column) -> Column:
-            slope = F.aggregate(F.zip_with(posterior, excess, lambda p, e: p * e), F.lit(0.0), lambda s, x: s + x)
-            return F.greatest(F.lit(0.0), r - F.lit(self.size) * (slope + F.lit(self.penalty) * (r - 1)))
-
-        return F.aggregate(F.array(*[F.array(*[F.lit(float(e)) for e in s]) for s in self.steps]), F.lit(1.0), step)
+    def column(self, posterior: Column) -> Column:
+        return F.least(F.greatest(self.line(posterior), F.lit(0.0)), F.lit(float(self.most)))
 
 
 @dataclass
@@ -120,49 +142,102 @@ class Mixture:
     posterior: Posterior
     rates: Rates
     targets: dict[str, float]
+    marks: tuple[str, ...] = ()
+    achieved: dict[str, float] = field(default_factory=dict)
+    converged: bool = True
+    steps: int = 0
+    rows: DataFrame | None = None
 
     def columns(self, text: Column) -> Column:
         """Struct of n_tokens, posteriors, domain and rate of a text."""
-        names = F.array(*[F.lit(d) for d in self.posterior.domains])
-
-        def named(p: Column) -> Column:
-            return F.struct(p.alias("posteriors"), F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int")).alias("domain"), F.round(self.rates.column(p), 6).alias("rate"))
 
         def of(t: Column) -> Column:
-            soft = F.transform(F.array(features(t)), lambda b: self.posterior.column(b))
-            return F.struct(token_count(t).alias("n_tokens"), F.get(F.transform(soft, named), F.lit(0)).alias("m"))
+            return F.struct(token_count(t).alias("n_tokens"), self.of_bins(features(t, self.marks)).alias("m"))
 
         return F.get(F.transform(F.array(F.coalesce(text, F.lit(""))), of), F.lit(0))
 
+    def of_bins(self, bins: Column) -> Column:
+        """Struct of posteriors, domain and rate of a text's features."""
+        names = F.array(*[F.lit(d) for d in self.posterior.domains])
+
+        def named(p: Column) -> Column:
+            return F.struct(p.alias("posteriors"), F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int")).alias("domain"), F.round(self.rates.column(p), 6).alias("rate"))
 
-def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, headroom: float = 0.03, steps: int = 24, penalty: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> Mixture:
+        soft = F.transform(F.array(bins), lambda b: self.posterior.column(b))
+        return F.get(F.transform(soft, named), F.lit(0))
+
+
+def _solve(cells: DataFrame, k: int, wanted: np.ndarray, shares: np.ndarray, most: float, steps: int, tol: float, soft: float = 0.0) -> tuple[Rates, np.ndarray, bool, int]:
+    """Multipliers of the domains for ``cells`` (t, p): rates, achieved totals, whether
+    each is within ``tol`` of its target, steps. With ``soft``, gaps cost their square over it."""
+    a = [F.get("p", F.lit(d)) - F.lit(float(s)) for d, s in enumerate(shares)]
+
+    def at(x: np.ndarray) -> tuple[Rates, np.ndarray, np.ndarray, float]:
+        rates = Rates(float(1 - x @ shares), [float(v) for v in x], most)
+        z = rates.line(F.col("p"))
+        base = cells.select("t", *[c.alias(f"a{d}") for d, c in enumerate(a)], *[F.get("p", F.lit(d)).alias(f"p{d}") for d in range(k)], z.alias("z"), rates.column(F.col("p")).alias("r"))
+        free = F.when((F.col("z") > 0) & (F.col("z") <= most), F.col("t")).otherwise(0.0)
+        sums = [F.sum(F.expr(f"t * r * p{d}")) for d in range(k)] + [F.sum(free * F.col(f"a{i}") * F.col(f"a{j}")) for i in range(k) for j in range(k)] + [F.sum(F.expr("t * (z * r - r * r / 2)"))]
+        got = np.array([float(v or 0) for v in base.agg(*sums).first()])
+        return rates, got[:k], got[k : k + k * k].reshape(k, k), float(got[-1] - x @ wanted + soft / 2 * (x @ x))
+
+    x = np.zeros(k)
+    rates, have, curve, value = at(x)
+    used, size, damp = 0, 1.0, 1e-4 * curve + 1e-9 * float(have.sum()) * np.eye(k)  # all rates are free at first
+    while True:
+        gap = wanted + shares * have.sum() - have
+        goal = wanted + shares * have.sum()
+        met = bool(np.all(np.abs(gap) <= tol * np.where(goal > 0, goal, goal.sum())))
+        push = gap - soft * x
+        settled = met if not soft else bool(np.abs(push).max() <= tol * goal.sum())
+        if settled or used >= steps or size < 1e-6:
+            return rates, have, met, used
+        move = np.linalg.solve(curve + damp + soft * np.eye(k), push)
+        size = 1.0
+        while size >= 1e-6 and used < steps:
+            used += 1
+            tried = at(x + size * move)
+            if tried[3] <= value - 1e-4 * size * float(push @ move):
+                x = x + size * move
+                rates, have, curve, value = tried
+                break
+            size /= 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, headroom: float = 0.03, steps: int = 100, tol: float = 1e-3, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Mixture:
     """Domains from ``labels`` (id, quality, toxic), rates from all documents."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialize(docs.select(F.col(id_col).alias("id"), features(text).alias("bins"), token_count(text).alias("t")), "features")
-    posterior = fit_domains(rows, labels.select(F.col(id_col).alias("id"), label_domain(F.col("quality"), F.col("toxic")).alias("domain")))
+    named = labels.select(F.col(id_col).alias("id"), label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+    marks = learn_marks(docs.select(F.col(id_col).alias("id"), text.alias("text")), named)
+    rows = materialize(docs.select(F.col(id_col).alias("id"), features(text, marks).alias("bins"), token_count(text).alias("t")), "features")
+    posterior = fit_domains(rows, named)
     k = len(posterior.domains)
     weights = {d: w for d, w in (weights or WEIGHTS).items() if d in posterior.domains}
     cells = materialize(rows.groupBy("bins").agg(F.sum("t").cast("double").alias("t")).withColumn("p", posterior.column(F.col("bins"))), "cells")
-
-    def totals(rates: Rates) -> list[float]:
-        mass = cells.withColumn("m", F.col("t") * rates.column(F.col("p")))
-        row = mass.agg(*[F.sum(F.col("m") * F.get("p", F.lit(d))) for d in range(k)]).first()
-        return [float(x or 0) for x in row]
-
-    rates = Rates([], 0.0, penalty)
-    have = totals(rates)
-    if k == 1 or not weights or not sum(have):
-        return Mixture(posterior, rates, dict(zip(posterior.domains, have, strict=True)))
+    have = np.array([float(x or 0) for x in cells.agg(*[F.sum(F.col("t") * F.get("p", F.lit(d))) for d in range(k)]).first()])
+    by_name = lambda x: dict(zip(posterior.domains, [float(v) for v in x], strict=True))
     whole = sum(weights.values())
-    main = max(weights, key=weights.get)
-    total = have[posterior.domains.index(main)] * (1 + headroom) / (weights[main] / whole)
-    wanted = [total * weights.get(d, 0.0) / whole for d in posterior.domains]
-    rates.size = total / sum(have) / (1 + penalty)
-    for _ in range(steps):
-        excess = [(h - w) / total for h, w in zip(have, wanted, strict=True)]
-        rates.steps.append(excess)
-        have = totals(rates)
-    return Mixture(posterior, rates, dict(zip(posterior.domains, wanted, strict=True)))
+    if k == 1 or not whole or not have.sum():
+        return Mixture(posterior, Rates(), by_name(have), marks, by_name(have), rows=rows)
+    share = np.array([weights.get(d, 0.0) / whole for d in posterior.domains])
+    main = int(share.argmax())
+    if most is None:
+        wanted = have[main] * (1 + headroom) / share[main] * share
+        problem = (cells, k, wanted, np.zeros(k), math.inf, steps, tol)
+    else:
+        problem = (cells, k, np.zeros(k), share, most, steps, tol)
+    rates, got, met, used = _solve(*problem)
+    if not met or most is not None and got[main] < have[main] / 2:
+        wanted = have[main] * (1 if most else 1 + headroom) / share[main] * share
+        for weight in (0.01, 0.1, 1, 10, 100, 1000):  # more and more towards rates of 1
+            rates, got, met, used = _solve(cells, k, wanted, np.zeros(k), most or math.inf, steps, tol, weight * float(wanted.sum()))
+            if got[main] >= have[main] / 2:
+                break
+    elif most is not None:
+        wanted = share * got.sum()
+    if not met:
+        warnings.warn(f"the mixture misses its targets after {used} steps: wanted {by_name(wanted)}, achieved {by_name(got)}", stacklevel=2)
+    return Mixture(posterior, rates, by_name(wanted), marks, by_name(got), met, used, rows)
 
 
 def _chance(id_col: str) -> Column:
@@ -170,6 +245,10 @@ def _chance(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def _copies(id_col: str, rate: Column) -> Column:
+    return (F.floor(rate) + (_chance(id_col) < rate - F.floor(rate)).cast("int")).cast("int")
+
+
 def mix(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, domain, posteriors, rate and ``copies``: how often the
     mixed corpus holds the document (its rate, the fraction by a fixed chance)."""
@@ -177,20 +256,19 @@ def mix(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     rows = docs.select(*keep, mixture.columns(F.col(text_col)).alias("__m"))
     rate = F.col("__m.m.rate")
-    copies = (F.floor(rate) + (_chance(id_col) < rate - F.floor(rate)).cast("int")).cast("int")
-    return rows.select(*keep, F.col("__m.n_tokens").alias("n_tokens"), F.col("__m.m.domain").alias("domain"), F.col("__m.m.posteriors").alias("posteriors"), rate.alias("rate"), copies.alias("copies"))
+    return rows.select(*keep, F.col("__m.n_tokens").alias("n_tokens"), F.col("__m.m.domain").alias("domain"), F.col("__m.m.posteriors").alias("posteriors"), rate.alias("rate"), _copies(id_col, rate).alias("copies"))
 
 
 def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mixture = fit(docs, labels)
-    rows = mix(docs.select("doc_id", "text"), mixture)
-    names = [F.round(F.get("posteriors", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(mixture.posterior.domains)]
-    return rows.select("doc_id", "n_tokens", "domain", *names, "rate", "copies")
+    rows = mixture.rows.select(F.col("id").alias("doc_id"), F.col("t").alias("n_tokens"), mixture.of_bins(F.col("bins")).alias("m"))
+    names = [F.round(F.get("m.posteriors", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(mixture.posterior.domains)]
+    return rows.select("doc_id", "n_tokens", "m.domain", *names, "m.rate", _copies("doc_id", F.col("m.rate")).alias("copies"))
 
 
 def thin(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The mixed corpus without repeats: a document stays when its rate says so (from
-    rate 1 on always). Columns are unchanged."""
+    """The mixed corpus without repeats: a document stays when its rate, 1 at
+    most, says so, and the kept documents meet the weights. Columns are unchanged."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # any names it may have
-    rows = mix(docs.select(row, F.col("doc_id").alias("__id"), F.col("text").alias("__text")), fit(docs, labels), "__id", "__text")
+    rows = mix(docs.select(row, F.col("doc_id").alias("__id"), F.col("text").alias("__text")), fit(docs, labels, most=1.0), "__id", "__text")
     return rows.filter("copies > 0").select("__row.*")

@@ -227,6 +227,34 @@ def test_mixing(spark, docs, none):
     assert mixing.mixing_query(docs, labels.limit(0)).filter("copies <> 1 or domain <> 'all'").count() == 0
 
 
+def test_mixing_meets_its_targets(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(1500):
+        kind = r.choices(["clean", "low", "toxic"], [80, 10, 10])[0]
+        words = [r.choice("abcdefgh") * r.randint(1, 3) + r.choice(["water", "river", "stone", "house"]) for _ in range(r.randint(20, 200))]
+        if kind == "low":
+            words = words[:5] + [words[0]] * len(words)
+        if kind == "toxic":
+            for _ in range(r.randint(1, 6)):
+                at = r.randrange(len(words))
+                words[at : at + 1] = ["grumbl" + r.choice(["er", "ing"])] * 2 if i % 2 else ["idiot", r.choice(words)]
+        rows.append((i, " ".join(words), int(kind != "low"), int(kind == "toxic")))
+    df = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows if i % 5 < 2], "doc_id long, quality int, toxic int")
+    mixture = mixing.fit(df, labels)
+    assert mixture.converged and "grumb" in mixture.marks
+    out = mixing.mix(df, mixture).collect()
+    for k, d in enumerate(mixture.posterior.domains):
+        total = sum(x["rate"] * x["n_tokens"] * x["posteriors"][k] for x in out)
+        assert total == pytest.approx(mixture.targets[d], rel=2e-3) and mixture.achieved[d] == pytest.approx(total, rel=1e-3)
+    bad = {i for i, _, _, t in rows if t}
+    kept = {x["doc_id"] for x in mixing.thin(df, labels).collect()}
+    assert len(kept & bad) < 0.03 * len(kept) and len(kept) > 900
+    want = {x["doc_id"]: (x["n_tokens"], x["domain"], x["rate"], x["copies"]) for x in out}
+    assert {x["doc_id"]: (x["n_tokens"], x["domain"], x["rate"], x["copies"]) for x in mixing.mixing_query(df, labels).collect()} == want
+
+
 # ---------------------------------------------------------------- 7
 
 
