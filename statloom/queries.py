@@ -124,8 +124,7 @@ def ols_hac_errors(spark, sf):
 @query(f"{_RESID} SELECT pos, round(max(h), 9) AS leverage, round(max(e / sqrt((1 - h) * s2)), 6) AS studentized FROM r, (SELECT sum(e * e) / (max(n) - 2) AS s2 FROM r) WHERE okey < 100 AND line = 1 GROUP BY pos HAVING count(*) = 1")
 def ols_influence(spark, sf):
     m = li.ols(lines(spark, sf), "price ~ qty", order="pos")
-    rows = li.influence(m).filter("ord < 800 and ord % 8 = 1")
-    return rows.groupBy(F.col("ord").alias("pos")).agg(F.round(F.max("leverage"), 9).alias("leverage"), F.round(F.max("studentized"), 6).alias("studentized"), F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
+    return li.influence(m).select(F.col("ord").alias("pos"), F.round("leverage", 9).alias("leverage"), F.round("studentized", 6).alias("studentized"))
 
 
 @query(f"""WITH f AS (SELECT regr_slope(v, i) b, regr_intercept(v, i) a FROM {E}), r AS (SELECT v - a - b * i AS e, lag(v - a - b * i) OVER (ORDER BY i) AS p FROM {E}, f)
