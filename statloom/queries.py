@@ -629,7 +629,7 @@ def formula_design(spark, sf):
 @query(f"SELECT pos, round(a + b * qty, 6) AS prediction FROM {L}, (SELECT regr_slope(price, qty) b, regr_intercept(price, qty) a FROM {L}) WHERE okey < 500")
 def predict(spark, sf):
     d = lines(spark, sf)
-    return li.ols(d, "price ~ qty").predict(d).filter("okey < 500").select("pos", F.round("prediction", 6).alias("prediction"))
+    return li.ols(d, "price ~ qty").predict(d).select("pos", F.round("prediction", 6).alias("prediction"))
 
 
 @query(f"SELECT supp, CAST(dense_rank() OVER (ORDER BY supp) - 1 AS INTEGER) AS group_id FROM (SELECT DISTINCT supp FROM {L})")

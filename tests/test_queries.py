@@ -34,3 +34,10 @@ def test_influence_of_every_row(spark, tables):
     h, e = np.einsum("ij,jk,ik->i", x, np.linalg.inv(x.T @ x), x), lines["price"] - fit
     assert got["leverage"].to_numpy() == pytest.approx(h, abs=1e-8)
     assert got["studentized"].to_numpy() == pytest.approx((e / np.sqrt(e @ e / (len(e) - 2) * (1 - h))).to_numpy(), abs=1e-5)
+
+
+def test_prediction_of_every_row(spark, tables):
+    folder, lines, _ = tables
+    got = queries.queries()["predict"](spark, folder).toPandas().sort_values("pos")
+    assert got["pos"].tolist() == lines["pos"].tolist()
+    assert got["prediction"].to_numpy() == pytest.approx(fitted(lines)[1], abs=1e-5)
