@@ -308,8 +308,8 @@ def treatment_ipw(spark, sf):
 
 @query(f"SELECT pos, round(coalesce(CASE WHEN line = 2 THEN NULL ELSE price END, (SELECT avg(price) FROM {L} WHERE line <> 2)), 6) AS price FROM {L} WHERE okey < 200")
 def impute_mean(spark, sf):
-    d = lines(spark, sf).select("pos", "okey", F.when(F.col("line") != 2, F.col("price")).alias("price"))
-    return pa.mean_impute(d, ["price"]).filter("okey < 200").select("pos", F.round("price", 6).alias("price"))
+    d = lines(spark, sf).select("pos", F.when(F.col("line") != 2, F.col("price")).alias("price"))
+    return pa.mean_impute(d, ["price"]).select("pos", F.round("price", 6).alias("price"))
 
 
 @query()

@@ -41,3 +41,11 @@ def test_prediction_of_every_row(spark, tables):
     got = queries.queries()["predict"](spark, folder).toPandas().sort_values("pos")
     assert got["pos"].tolist() == lines["pos"].tolist()
     assert got["prediction"].to_numpy() == pytest.approx(fitted(lines)[1], abs=1e-5)
+
+
+def test_imputation_of_every_row(spark, tables):
+    folder, lines, _ = tables
+    got = queries.queries()["impute_mean"](spark, folder).toPandas().sort_values("pos")
+    price = lines["price"].where(lines["l_linenumber"] != 2)
+    assert got["pos"].tolist() == lines["pos"].tolist() and price.isna().sum() == 300
+    assert got["price"].to_numpy() == pytest.approx(price.fillna(price.mean()).to_numpy(), abs=1e-5)
