@@ -320,6 +320,28 @@ def shapiro_wilk(df: DataFrame, column: str) -> Test:
     """W for 3 to 5000 values (the test's own range, so the values fit the driver); weights
     from Blom's scores with Royston's corrections for the two largest."""
     x = np.array([r[0] for r in df.select(_num(column).alias("v")).filter("v is not null").orderBy("v").limit(5001).collect()])
+    return _shapiro(x)
+
+
+def shapiro_wilk_dealt(df: DataFrame, column: str, key: str, size: int = 2500) -> DataFrame:
+    """W of each of the groups (part, n, statistic, p_value) that all rows with a value are
+    dealt to by a hash of ``key``: as many as give about ``size`` values each, within the
+    test's range. A sample as wide as the table has no W of its own."""
+    rows = df.select(F.col(key).alias("key"), _num(column).alias("v")).filter("v is not null")
+    parts = max(1, round(rows.count() / size))
+
+    def each(part, values):
+        import pandas as pd
+
+        t = _shapiro(np.sort(values["v"].to_numpy()))
+        return pd.DataFrame({"part": [part[0]], "n": [len(values)], "statistic": [t.statistic], "p_value": [t.p_value]})
+
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), "v")
+    return dealt.groupBy("part").applyInPandas(each, "part long, n long, statistic double, p_value double")
+
+
+def _shapiro(x: np.ndarray) -> Test:
+    """W of sorted values."""
     n = len(x)
     if not 3 <= n <= 5000:
         raise InvalidInput("the test takes 3 to 5000 values")

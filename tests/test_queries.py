@@ -49,3 +49,11 @@ def test_imputation_of_every_row(spark, tables):
     price = lines["price"].where(lines["l_linenumber"] != 2)
     assert got["pos"].tolist() == lines["pos"].tolist() and price.isna().sum() == 300
     assert got["price"].to_numpy() == pytest.approx(price.fillna(price.mean()).to_numpy(), abs=1e-5)
+
+
+def test_normality_of_every_row(spark, tables):
+    folder, _, events = tables
+    got = queries.queries()["normality_tests"](spark, folder).first()
+    assert got["shapiro_n"] == len(events) and got["shapiro_groups"] == 3
+    # the first 1000 ids are normal, the whole column is not
+    assert got["shapiro_least"] <= got["shapiro"] < 0.93
