@@ -42,19 +42,21 @@ def fixed_effects(df: DataFrame, formula, entity: str | None = None, time: str |
     keys = [k for k in (entity, time) if k]
     extra = {"e": entity, "t": time}
     d = _design(df, formula, None, group or (keys[0] if Cov.of(cov).kind == "cluster" else None), order, **{k: v for k, v in extra.items() if v})
+    settled = True
     if len(keys) == 1:
         out = _within(d, "e" if entity else "t")
         absorbed = [out.df.select("e" if entity else "t").distinct().count()]
     else:
-        out, absorbed = _two_way(d, max_iter, tol)
+        out, absorbed, settled = _two_way(d, max_iter, tol)
     n = out.df.count()
     loss = len(d.names) + (sum(absorbed) - (len(absorbed) > 1) if within_df else 0)
     m = fit_ols(out, cov, df_resid=n - loss)
     m.stats["absorbed"] = sum(absorbed)
+    m.converged = settled
     return m
 
 
-def _two_way(d: Design, max_iter: int, tol: float) -> tuple[Design, list[int]]:
+def _two_way(d: Design, max_iter: int, tol: float) -> tuple[Design, list[int], bool]:
     """Balanced panels have a closed form; others solve for the two sets of effects on
     cell totals, which are as many as entities plus times."""
     names = ["y", *[f"x{k}" for k in range(len(d.names))]]
@@ -64,8 +66,8 @@ def _two_way(d: Design, max_iter: int, tol: float) -> tuple[Design, list[int]]:
         total = d.df.agg(*[F.avg(c) for c in names]).first()
         rows = _means(_means(d.df, "e", names, "_e"), "t", names, "_t")
         rows = rows.withColumns({c: F.col(c) - F.col(f"{c}_e") - F.col(f"{c}_t") + F.lit(float(total[k])) for k, c in enumerate(names)})
-        return Design(rows.select(*d.df.columns), d.names, False), [entities, times]
-    rows, columns = d.df, d.df.columns
+        return Design(rows.select(*d.df.columns), d.names, False), [entities, times], True
+    rows, columns, settled = d.df, d.df.columns, False
     from statloom.sources.tables import durable
 
     for _ in range(max_iter):
@@ -76,9 +78,10 @@ def _two_way(d: Design, max_iter: int, tol: float) -> tuple[Design, list[int]]:
         e = rows.groupBy("e").agg(*[F.avg(c).alias(c) for c in names])
         gap = e.agg(*[F.max(F.abs(c)) for c in names]).first()
         if max(float(v or 0) for v in gap) < max(tol, 1e-10):
+            settled = True
             break
         del before
-    return Design(rows.select(*columns), d.names, False), [entities, times]
+    return Design(rows.select(*columns), d.names, False), [entities, times], settled
 
 
 def cluster_ids(df: DataFrame, entity: str, time: str, name: str = "cluster_id") -> DataFrame:
@@ -166,7 +169,7 @@ def mixed(df: DataFrame, formula, group: str, slope: str | None = None, max_iter
 
         logs, step = [0.0] * len(z), 2.0
         best = evaluate(tuple(math.exp(v) for v in logs))[0]
-        used = 0
+        used, settled = 0, False
         for used in range(1, max_iter + 1):  # coordinate search on the log ratios
             moved = False
             for k in range(len(logs)):
@@ -178,12 +181,13 @@ def mixed(df: DataFrame, formula, group: str, slope: str | None = None, max_iter
             if not moved:
                 step /= 4
                 if step < tol:
+                    settled = True
                     break
         _, beta, inverse, s2 = evaluate(tuple(math.exp(v) for v in logs))
     finally:
         by.unpersist()
     var = [math.exp(v) * s2 for v in logs]
-    out = Model(d.coef_names, beta, inverse * s2, n - q - (len(z) - 1) * q, design=d, stats={"n": int(n), "groups": groups, "var_residual": s2, "var_random": var[0], **({"var_slope": var[1]} if slope else {}), "llf": -best / 2, "icc": var[0] / (var[0] + s2)}, iterations=used)
+    out = Model(d.coef_names, beta, inverse * s2, n - q - (len(z) - 1) * q, design=d, stats={"n": int(n), "groups": groups, "var_residual": s2, "var_random": var[0], **({"var_slope": var[1]} if slope else {}), "llf": -best / 2, "icc": var[0] / (var[0] + s2)}, converged=settled, iterations=used)
     resid = F.col("y") - d.linear(beta)
     ratio = var[0] / s2
     if not slope:

@@ -61,6 +61,11 @@ L = "(SELECT l_extendedprice / 1000 AS price, l_quantity AS qty, l_discount AS d
 E = "(SELECT event_id AS i, value AS v, user_id AS u, event_type AS k FROM events)"
 
 
+def settled(table: DataFrame, converged: bool) -> DataFrame:
+    """Figures of an iterative fit, with whether it settled."""
+    return table.withColumn("converged", F.lit(bool(converged)))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "events").select(F.col("event_id").alias("i"), F.col("value").alias("v"), F.col("user_id").alias("u"), F.col("event_type").alias("k"))
 
@@ -168,7 +173,8 @@ def recursive_ols(spark, sf):
 
 @query()
 def quantile_regression(spark, sf):
-    return li.quantile(lines(spark, sf), "price ~ qty", 0.5, max_iter=40, tol=1e-5).coef_table(spark)
+    m = li.quantile(lines(spark, sf), "price ~ qty", 0.5)
+    return settled(m.coef_table(spark), m.converged)
 
 
 @query()
@@ -247,14 +253,14 @@ def ordered_logit(spark, sf):
 
 @query()
 def negative_binomial(spark, sf):
-    m = gl.negative_binomial(events(spark, sf).withColumn("c", F.floor(F.col("v") / 20)), "c ~ u", max_iter=25)
-    return m.coef_table(spark)
+    m = gl.negative_binomial(events(spark, sf).withColumn("c", F.floor(F.col("v") / 20)), "c ~ u")
+    return settled(m.coef_table(spark), m.converged)
 
 
 @query()
 def zero_inflated_poisson(spark, sf):
-    m = gl.zip_poisson(events(spark, sf).withColumn("c", F.floor(F.col("v") / 30)).withColumn("w", F.col("u") / 100), "c ~ w", max_iter=8)
-    return m.count.coef_table(spark).unionByName(m.inflation.coef_table(spark))
+    m = gl.zip_poisson(events(spark, sf).withColumn("c", F.floor(F.col("v") / 30)).withColumn("w", F.col("u") / 100), "c ~ w")
+    return settled(m.count.coef_table(spark).unionByName(m.inflation.coef_table(spark)), m.converged)
 
 
 @query()
@@ -277,7 +283,8 @@ def panel_fixed_effects(spark, sf):
 
 @query()
 def panel_two_way(spark, sf):
-    return pa.fixed_effects(lines(spark, sf), "price ~ qty", entity="supp", time="line", max_iter=6).coef_table(spark)
+    m = pa.fixed_effects(lines(spark, sf), "price ~ qty", entity="supp", time="line")
+    return settled(m.coef_table(spark), m.converged)
 
 
 @query()
@@ -290,7 +297,8 @@ def panel_random_effects(spark, sf):
 
 @query()
 def mixed_model(spark, sf):
-    return pa.mixed(lines(spark, sf), "price ~ qty", "supp", max_iter=30, tol=1e-3).coef_table(spark)
+    m = pa.mixed(lines(spark, sf), "price ~ qty", "supp")
+    return settled(m.coef_table(spark), m.converged)
 
 
 @query(f"""WITH g AS (SELECT many, avg(price) m, var_samp(price) v FROM {L} GROUP BY many), a AS (SELECT * FROM g WHERE many = 1), b AS (SELECT * FROM g WHERE many = 0)
@@ -315,7 +323,7 @@ def impute_mean(spark, sf):
 @query()
 def impute_chained(spark, sf):
     d = lines(spark, sf).select("pos", F.when(F.col("line") != 2, F.col("price")).alias("price"), "qty", F.when(F.col("line") != 3, F.col("disc")).alias("disc"))
-    return pa.mice_impute(d, ["price", "qty", "disc"], 2)
+    return pa.mice_impute(d, ["price", "qty", "disc"])
 
 
 @query(f"WITH c AS (SELECT var_samp(qty) a, covar_samp(qty, price) b, var_samp(price) d FROM {L}), e AS (SELECT (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) l1, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) l2 FROM c) SELECT round(l1, 5) AS first, round(l2, 5) AS second FROM e")
@@ -400,7 +408,7 @@ def specification_tests(spark, sf):
 
 @query()
 def bootstrap_mean(spark, sf):
-    m, lo, hi = ds.bootstrap_mean(events(spark, sf), "v", 100)
+    m, lo, hi = ds.bootstrap_mean(events(spark, sf), "v")
     return row(spark, mean=m, lower=lo, upper=hi)
 
 

@@ -57,3 +57,26 @@ def test_normality_of_every_row(spark, tables):
     assert got["shapiro_n"] == len(events) and got["shapiro_groups"] == 3
     # the first 1000 ids are normal, the whole column is not
     assert got["shapiro_least"] <= got["shapiro"] < 0.93
+
+
+def test_iterative_queries_run_with_defaults(spark, tables, monkeypatch):
+    folder, calls = tables[0], {}
+    for module, name in ((queries.li, "quantile"), (queries.gl, "negative_binomial"), (queries.gl, "zip_poisson"), (queries.pa, "fixed_effects"), (queries.pa, "mixed"), (queries.pa, "mice_impute"), (queries.ds, "bootstrap_mean")):
+
+        def kept(*args, _name=name, **options):
+            calls[_name] = (len(args), options)
+            raise InterruptedError
+
+        monkeypatch.setattr(module, name, kept)
+    for query in ("quantile_regression", "negative_binomial", "zero_inflated_poisson", "panel_two_way", "mixed_model", "impute_chained", "bootstrap_mean"):
+        with pytest.raises(InterruptedError):
+            queries.queries()[query](spark, folder)
+    assert len(calls) == 7 and not any({"max_iter", "tol"} & set(options) for _, options in calls.values())
+    assert calls["mice_impute"][0] == 2 and calls["bootstrap_mean"][0] == 2
+
+
+def test_fits_tell_whether_they_settled(spark, tables):
+    lines = queries.lines(spark, tables[0])
+    for fit in (lambda **o: queries.pa.fixed_effects(lines, "price ~ qty", entity="supp", time="line", **o), lambda **o: queries.pa.mixed(lines, "price ~ qty", "supp", **o)):
+        assert not fit(max_iter=1).converged and fit().converged
+    assert {r["converged"] for r in queries.queries()["panel_two_way"](spark, tables[0]).collect()} == {True}
