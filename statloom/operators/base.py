@@ -10,12 +10,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.plans.formula import Design, InvalidInput, design
 from statloom.plans.gram import cross, quadratic, sums
+from statloom.plans.order import with_lags
 
 
 @dataclass(frozen=True)
@@ -244,39 +245,6 @@ def sandwich(df: DataFrame, x: list[Column], score: Column, bread: np.ndarray, c
     return bread @ meat @ bread
 
 
-def numbered(df: DataFrame, order: str = "ord", name: str = "rn", partitions: int | None = None) -> DataFrame:
-    """``df`` with 1-based positions along ``order``, without a single-partition window:
-    rows are split by range, counted by range, and numbered within each."""
-    rows = df.repartitionByRange(order) if partitions is None else df.repartitionByRange(partitions, order)
-    rows = rows.withColumn("__p", F.spark_partition_id())
-    inner = Window.partitionBy("__p").orderBy(order)
-    rows = rows.withColumn("__i", F.row_number().over(inner))
-    counts = sorted((r["__p"], r["n"]) for r in rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, start = 0, []
-    for p, n in counts:
-        start.append((p, before))
-        before += n
-    offsets = F.create_map(*[F.lit(v) for pair in start for v in pair]) if start else F.create_map(F.lit(0), F.lit(0))
-    return rows.withColumn(name, F.col("__i").cast("long") + F.element_at(offsets, F.col("__p")).cast("long")).drop("__p", "__i")
-
-
-def with_lags(df: DataFrame, columns: list[str], lags: list[int], order: str = "ord") -> DataFrame:
-    """``df`` with columns ``c_l``: the value of c at l rows before, along ``order``.
-
-    Rows are numbered, cut in blocks, and each block gets the few rows before it, so the
-    lag windows are partitioned by block however long the series is."""
-    if not lags:
-        return df
-    most = max(lags)
-    size = max(50_000, 4 * most)
-    rows = numbered(df, order, "__rn").withColumn("__b", F.floor((F.col("__rn") - 1) / size))
-    tail = F.col("__rn") - 1 - F.col("__b") * size >= size - most
-    rows = rows.withColumn("__c", F.explode(F.when(tail, F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("g")), F.struct((F.col("__b") + 1).alias("b"), F.lit(True).alias("g")))).otherwise(F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("g"))))))
-    w = Window.partitionBy("__c.b").orderBy("__rn")
-    made = {f"{c}_{lag}": F.lag(c, lag).over(w) for c in columns for lag in lags}
-    return rows.withColumns(made).filter(~F.col("__c.g")).drop("__c", "__b", "__rn")
-
-
 def log_likelihood_ratio(full: float, restricted: float, df: int) -> tuple[float, float]:
     stat = max(0.0, 2 * (full - restricted))
     return stat, dist.chi2_sf(stat, df)

@@ -10,14 +10,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
-from statloom.operators.base import numbered
 from statloom.operators.linear import fit_ols
 from statloom.plans.formula import Design, InvalidInput
 from statloom.plans.gram import cross, sums
+from statloom.plans.order import numbered, rank_table
 
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -35,23 +35,10 @@ def percentile(df: DataFrame, column: str, p: float) -> float:
 
 
 def midranks(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
-    """``df`` with average ranks of a column. Distinct values are counted, their counts
-    summed up along the order range by range, and joined back."""
-    counts = df.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    return df.join(_cumulative(counts).select("__v", (F.col("__before") + (F.col("__n") + 1) / 2).alias(name)), F.col(column) == F.col("__v")).drop("__v")
-
-
-def _cumulative(counts: DataFrame) -> DataFrame:
-    """Rows (__v, __n, ..) with ``__before``: the total of __n over smaller __v."""
-    rows = counts.repartitionByRange("__v").withColumn("__p", F.spark_partition_id())
-    totals = sorted((r["__p"], r["t"]) for r in rows.groupBy("__p").agg(F.sum("__n").alias("t")).collect())
-    start, acc = [], 0
-    for p, t in totals:
-        start += [F.lit(p), F.lit(float(acc))]
-        acc += t
-    base = F.element_at(F.create_map(*start), F.col("__p")) if start else F.lit(0.0)
-    w = Window.partitionBy("__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)) + base).drop("__p")
+    """``df`` with average ranks of a column: the table of distinct values, joined back."""
+    rows = df.select(F.col(column).alias("__v"))
+    table = rank_table(rows.filter("__v is not null"), "__v").select("__v", F.col("rank").alias(name))
+    return df.join(table, F.col(column) == F.col("__v")).drop("__v")
 
 
 def pearson(df: DataFrame, x: str, y: str) -> float:
@@ -62,8 +49,12 @@ def pearson(df: DataFrame, x: str, y: str) -> float:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> float:
-    rows = df.select(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b"))
-    return pearson(midranks(midranks(rows, "a", "ra"), "b", "rb"), "ra", "rb")
+    rows = df.select(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")).filter("a is not null and b is not null")
+    out = rows
+    for c in "ab":  # both tables come from the plain columns; the joins back split hot values
+        table = rank_table(rows.select(c), c).select(F.col(c).alias(f"v{c}"), F.col("rank").alias(f"r{c}"))
+        out = out.join(table, F.col(c) == F.col(f"v{c}")).drop(f"v{c}")
+    return pearson(out, "ra", "rb")
 
 
 def correlation_test(r: float, n: int) -> float:

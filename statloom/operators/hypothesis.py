@@ -7,14 +7,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
-from statloom.operators.base import norm_cdf_column, numbered
-from statloom.operators.descriptive import _cumulative, midranks
+from statloom.operators.base import norm_cdf_column
 from statloom.plans.formula import InsufficientData, InvalidInput
 from statloom.plans.gram import sums
+from statloom.plans.order import cumulative, range_of, rank_table, running
 
 
 @dataclass
@@ -144,7 +144,7 @@ def tukey_hsd(df: DataFrame, column: str, group: str, alpha: float = 0.05) -> li
 
 def adjust_p(df: DataFrame, column: str, method: str = "holm", alpha: float = 0.05) -> DataFrame:
     """``df`` with p_adjusted and reject (strictly below alpha). Distinct p-values are
-    ranked by counts; running extremes go over that table."""
+    ranked by counts; running extremes go over that table, range by range."""
     if method not in ("bonferroni", "holm", "bh", "by"):
         raise InvalidInput(f"unknown method {method!r}")
     p = _num(column)
@@ -152,16 +152,15 @@ def adjust_p(df: DataFrame, column: str, method: str = "holm", alpha: float = 0.
     if method == "bonferroni":
         new = F.least(p * n, F.lit(1.0))
         return df.withColumns({"p_adjusted": new, "reject": new < alpha})
-    counts = _cumulative(df.groupBy(p.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))).withColumn("__k", F.lit(0))
-    # the table of distinct p-values of one family of tests
+    counts = df.groupBy(p.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__p", range_of(counts, "__v"))
+    counts = running(counts, {"__before": ("sum", F.col("__n"))}, "__v", own=False, part="__p")
     if method == "holm":
-        w = Window.partitionBy("__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-        new = F.max(F.col("__v") * (n - F.col("__before"))).over(w)
+        made = running(counts, {"__a": ("max", F.col("__v") * (n - F.col("__before")))}, "__v", part="__p")
     else:
         factor = sum(1 / i for i in range(1, n + 1)) if method == "by" else 1.0
-        w = Window.partitionBy("__k").orderBy("__v").rowsBetween(0, Window.unboundedFollowing)
-        new = F.min(F.col("__v") * n * factor / (F.col("__before") + F.col("__n"))).over(w)
-    table = counts.select("__v", F.least(new, F.lit(1.0)).alias("p_adjusted"))
+        made = running(counts, {"__a": ("min", F.col("__v") * n * factor / (F.col("__before") + F.col("__n")))}, "__v", reverse=True, part="__p")
+    table = made.select("__v", F.least("__a", F.lit(1.0)).alias("p_adjusted"))
     return df.join(table, p == F.col("__v")).drop("__v").withColumn("reject", F.col("p_adjusted") < alpha)
 
 
@@ -193,42 +192,44 @@ def chi2_independence(df: DataFrame, a: str, b: str, count: str | None = None) -
 # ---------------------------------------------------------------- ranks
 
 
-def _tie_sum(df: DataFrame, column: str) -> float:
-    c = df.groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("t"))
-    return float(sums(c, [F.col("t") ** 3 - F.col("t")])[0])
+def _rank_sums(rows: DataFrame, value: str, group: str) -> tuple[list[tuple], float]:
+    """((group, rows, rank sum) by rising group, sum of t³ - t over the ties) of the rows
+    with a value; as many figures as groups."""
+    by = rank_table(rows.filter(F.col(value).isNotNull()), value, (group,)).groupBy(group)
+    found = by.agg(F.sum("n"), F.sum(F.col("n") * F.col("rank")), F.sum(F.col("n") * (F.col("ties") * F.col("ties") - 1))).collect()
+    return sorted(((r[0], r[1], r[2]) for r in found), key=lambda r: (r[0] is not None, r[0])), sum(r[3] for r in found)
 
 
 def mann_whitney(df: DataFrame, column: str, group: str) -> Test:
     """U of the first group; tie-corrected normal approximation with continuity."""
-    rows = df.select(F.col(group).alias("g"), _num(column).alias("v"))
-    g = sorted(midranks(rows, "v", "r").groupBy("g").agg(F.count(F.lit(1)), F.sum("r")).collect(), key=lambda r: r[0])
+    g, ties = _rank_sums(df.select(F.col(group).alias("g"), _num(column).alias("v")), "v", "g")
     if len(g) != 2:
         raise InvalidInput("two groups are needed")
     n1, n2 = g[0][1], g[1][1]
     n = n1 + n2
     u = g[0][2] - n1 * (n1 + 1) / 2
-    sd = math.sqrt(n1 * n2 / 12 * (n + 1 - _tie_sum(rows, "v") / (n * (n - 1))))
+    sd = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))
     z = max(abs(u - n1 * n2 / 2) - 0.5, 0.0) / sd if sd > 0 else 0.0
     return Test(u, min(1.0, dist.two_sided_normal(z)))
 
 
 def kruskal_wallis(df: DataFrame, column: str, group: str) -> Test:
-    rows = df.select(F.col(group).alias("g"), _num(column).alias("v"))
-    by = midranks(rows, "v", "r").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("r").alias("s"))
-    k, n, s = sums(by, [F.lit(1), F.col("m"), F.col("s") ** 2 / F.col("m")])
-    h = 12 / (n * (n + 1)) * s - 3 * (n + 1)
-    h /= 1 - _tie_sum(rows, "v") / (n**3 - n)
-    return Test(h, dist.chi2_sf(h, k - 1), k - 1)
+    g, ties = _rank_sums(df.select(F.col(group).alias("g"), _num(column).alias("v")), "v", "g")
+    n = sum(r[1] for r in g)
+    h = 12 / (n * (n + 1)) * sum(r[2] ** 2 / r[1] for r in g) - 3 * (n + 1)
+    h /= 1 - ties / (n**3 - n)
+    return Test(h, dist.chi2_sf(h, len(g) - 1), len(g) - 1)
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> Test:
     """Signed ranks: zeros fall away, ties share ranks, continuity of one half."""
-    rows = df.select((_num(a) - _num(b)).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
-    n, plus, minus = sums(midranks(rows, "m", "r"), [F.lit(1), F.when(F.col("d") > 0, F.col("r")), F.when(F.col("d") < 0, F.col("r"))])
-    if not n:
+    rows = df.select((_num(a) - _num(b)).alias("d")).filter("d <> 0").select(F.abs("d").alias("m"), (F.col("d") > 0).alias("up"))
+    g, ties = _rank_sums(rows, "m", "up")
+    if not g:
         raise InsufficientData(1, 0)
-    w, mean = min(plus, minus), n * (n + 1) / 4
-    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - _tie_sum(rows, "m") / 48)
+    total = {up: s for up, _, s in g}
+    n, w = sum(r[1] for r in g), min(total.get(True, 0.0), total.get(False, 0.0))
+    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     z = max(abs(w - mean) - 0.5, 0) / sd
     return Test(w, min(1.0, dist.two_sided_normal(z)))
 
@@ -252,7 +253,7 @@ def _kolmogorov(x: float) -> float:
 
 
 def _ks_statistic(df: DataFrame, column: str, mean: float, sd: float) -> float:
-    counts = _cumulative(df.select(_num(column).alias("__v")).groupBy("__v").agg(F.count(F.lit(1)).alias("__n")))
+    counts = cumulative(df.select(_num(column).alias("__v")).groupBy("__v").agg(F.count(F.lit(1)).alias("__n")))
     n = float(sums(counts, [F.col("__n")])[0])
     f = norm_cdf_column((F.col("__v") - mean) / sd)
     return float(counts.agg(F.max(F.greatest((F.col("__before") + F.col("__n")) / n - f, f - F.col("__before") / n))).first()[0])
@@ -275,7 +276,7 @@ def ks_two(df: DataFrame, column: str, group: str, compat: bool = False) -> Test
     by = rows.groupBy("__v").agg(F.count_if(F.col("g") == names[0]).alias("a"), F.count_if(F.col("g") == names[1]).alias("b"))
     n1, n2 = sums(by, [F.col("a"), F.col("b")])
     # sum of signed steps: F_a - F_b after each value
-    steps = _cumulative(by.withColumn("__n", F.col("a") / n1 - F.col("b") / n2))
+    steps = cumulative(by.withColumn("__n", F.col("a") / n1 - F.col("b") / n2))
     d = float(steps.agg(F.max(F.abs(F.col("__before") + F.col("__n")))).first()[0])
     n = n1 if compat and n1 == n2 else n1 * n2 / (n1 + n2)
     root = math.sqrt(n)
@@ -296,11 +297,13 @@ def anderson_darling(df: DataFrame, column: str) -> Test:
     n, m, v = _stats(df, _num(column))
     if n < 8:
         raise InsufficientData(8, n)
-    rows = numbered(df.select(_num(column).alias("v")), "v", "i")
-    z = (F.col("v") - m) / math.sqrt(v)
+    counts = cumulative(df.select(_num(column).alias("__v")).filter("__v is not null").groupBy("__v").agg(F.count(F.lit(1)).cast("double").alias("__n")))
+    z = (F.col("__v") - m) / math.sqrt(v)
     low, high = F.log(F.greatest(norm_cdf_column(z), F.lit(1e-300))), F.log(F.greatest(norm_cdf_column(-z), F.lit(1e-300)))
-    # sum (2i-1) [ln F(x_i) + ln(1 - F(x_{n+1-i}))], the second sum taken by its own index
-    (total,) = sums(rows, [(2 * F.col("i") - 1) * low + (2 * (n - F.col("i")) + 1) * high])
+    # sum (2i-1) [ln F(x_i) + ln(1 - F(x_{n+1-i}))], the second sum taken by its own index;
+    # equal values take their places together: sums of 2i-1 are differences of squares
+    least, most = F.col("__before"), F.col("__before") + F.col("__n")
+    (total,) = sums(counts, [(most * most - least * least) * low + ((n - least) * (n - least) - (n - most) * (n - most)) * high])
     a = -n - total / n
     s = a * (1 + 0.75 / n + 2.25 / n**2)
     if s >= 13:

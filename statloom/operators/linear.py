@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
-from statloom.operators.base import Cov, Model, numbered, sandwich, with_lags
+from statloom.operators.base import Cov, Model, sandwich
 from statloom.plans.formula import Design, InsufficientData, InvalidInput, design
 from statloom.plans.gram import cross, quadratic, solve_spd, sums
+from statloom.plans.order import numbered, with_lags
 
 
 def _design(df: DataFrame, formula, weight=None, group=None, order=None, **more) -> Design:

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
@@ -14,37 +14,17 @@ from statloom.operators.base import Model
 from statloom.operators.linear import _design
 from statloom.plans.formula import InvalidInput
 from statloom.plans.gram import sums
+from statloom.plans.order import range_of, running, with_lags
 
 
-def _later(table: DataFrame, columns: list[str], order: str = "time") -> DataFrame:
-    """``table`` with ``c_r``: totals of c over this and all later times. Ranges of times
-    are summed up first, so no window spans the whole table."""
-    rows = table.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    parts = sorted((tuple(r) for r in rows.groupBy("__p").agg(*[F.sum(c).cast("double") for c in columns]).collect()), reverse=True)
-    acc = [0.0] * len(columns)
-    maps: list[list[Column]] = [[] for _ in columns]
-    for p, *totals in parts:
-        for k, t in enumerate(totals):
-            maps[k] += [F.lit(p), F.lit(acc[k])]
-            acc[k] += t or 0.0
-    w = Window.partitionBy("__p").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    made = {f"{c}_r": F.sum(c).over(w) + (F.element_at(F.create_map(*maps[k]), F.col("__p")) if maps[k] else F.lit(0.0)) for k, c in enumerate(columns)}
-    return rows.withColumns(made).drop("__p")
+def _later(table: DataFrame, columns: list[str], order: str = "time", part: str | None = None) -> DataFrame:
+    """``table`` with ``c_r``: totals of c over this and all later times."""
+    return running(table, {f"{c}_r": ("sum", F.col(c).cast("double")) for c in columns}, order, reverse=True, part=part)
 
 
 def _so_far(table: DataFrame, columns: list[str], order: str = "time") -> DataFrame:
     """``table`` with ``c_s``: totals of c over this and all earlier times."""
-    rows = table.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    parts = sorted(tuple(r) for r in rows.groupBy("__p").agg(*[F.sum(c).cast("double") for c in columns]).collect())
-    acc = [0.0] * len(columns)
-    maps: list[list[Column]] = [[] for _ in columns]
-    for p, *totals in parts:
-        for k, t in enumerate(totals):
-            maps[k] += [F.lit(p), F.lit(acc[k])]
-            acc[k] += t or 0.0
-    w = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    made = {f"{c}_s": F.sum(c).over(w) + (F.element_at(F.create_map(*maps[k]), F.col("__p")) if maps[k] else F.lit(0.0)) for k, c in enumerate(columns)}
-    return rows.withColumns(made).drop("__p")
+    return running(table, {f"{c}_s": ("sum", F.col(c).cast("double")) for c in columns}, order)
 
 
 def life_table(df: DataFrame, time: str, event: str) -> DataFrame:
@@ -72,10 +52,9 @@ def kaplan_meier(df: DataFrame, time: str, event: str, alpha: float = 0.05) -> D
 def km_summary(curve: DataFrame) -> dict[str, float]:
     """Median survival (first time with S <= 1/2) and restricted mean to the last event."""
     median = curve.filter("survival <= 0.5").agg(F.min("time")).first()[0]
-    w = Window.partitionBy("__one").orderBy("time")
-    # the curve has one row a distinct event time
-    steps = curve.withColumn("__one", F.lit(1)).withColumns({"__t": F.coalesce(F.lag("time").over(w), F.lit(0.0)), "__s": F.coalesce(F.lag("survival").over(w), F.lit(1.0))})
-    return {"median": median if median is not None else math.nan, "rmst": float(sums(steps, [(F.col("time") - F.col("__t")) * F.col("__s")])[0])}
+    steps = with_lags(curve.select("time", "survival"), ["time", "survival"], [1], "time")
+    area = (F.col("time") - F.coalesce("time_1", F.lit(0.0))) * F.coalesce("survival_1", F.lit(1.0))
+    return {"median": median if median is not None else math.nan, "rmst": float(sums(steps, [area])[0])}
 
 
 def survival_at(curve: DataFrame, t: float) -> float:
@@ -85,18 +64,18 @@ def survival_at(curve: DataFrame, t: float) -> float:
 
 
 def survival_lookup(curve: DataFrame, df: DataFrame, at: str, name: str = "survival") -> DataFrame:
-    """As-of lookup for many times: both sides are cut by the curve's quantiles, the last
-    step before each piece is carried in, and the union is filled forward by piece."""
-    cuts = curve.select(F.percentile_approx("time", [k / 32 for k in range(1, 32)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    carry = {0: 1.0}
-    for k, c in enumerate(cuts):
-        carry[k + 1] = survival_at(curve, c)
-    piece = lambda t: sum(((t > F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    left = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select("__row", F.col(at).cast("double").alias("__t"), F.lit(None).cast("double").alias("__s"), F.lit(1).alias("__o"))
-    right = curve.select(F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col("time").alias("__t"), F.col("survival").alias("__s"), F.lit(0).alias("__o"))
-    both = left.unionByName(right).withColumn("__p", piece(F.col("__t")))
-    w = Window.partitionBy("__p").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    """As-of lookup for many times: both sides are cut by the ranges of the curve, the last
+    step before each range is carried in, and the union is filled forward by range."""
+    piece = range_of(curve, "time")
+    carry, last = {}, 1.0
+    ends = {r[0]: r[1] for r in curve.groupBy(piece.alias("p")).agg(F.max_by("survival", "time")).collect()}
+    for p in range(max(ends, default=0) + 1):
+        carry[p] = last
+        last = ends.get(p, last)
+    left = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select("__row", F.col(at).cast("double").alias("time"), F.lit(None).cast("double").alias("__s"), F.lit(1).alias("__o"))
+    right = curve.select(F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), "time", F.col("survival").alias("__s"), F.lit(0).alias("__o"))
+    both = left.unionByName(right).withColumn("__p", piece)
+    w = Window.partitionBy("__p").orderBy("time", "__o").rowsBetween(Window.unboundedPreceding, 0)
     start = F.element_at(F.create_map(*[F.lit(v) for kv in carry.items() for v in kv]), F.col("__p"))
     both = both.withColumn(name, F.coalesce(F.last("__s", ignorenulls=True).over(w), start))
     return both.filter("__o = 1").select("__row.*", name)
@@ -133,7 +112,8 @@ def cox(df: DataFrame, formula, event: str, max_iter: int = 200, tol: float = 1e
     x = [F.col(f"x{j}") for j in range(k)]
     means = sums(d.df, [F.lit(1), *x])
     n, center = means[0], means[1:] / max(means[0], 1)
-    rows = d.df.select(F.col("y").alias("time"), (F.col("event") == 1).cast("double").alias("e"), *[(c - float(m)).alias(f"x{j}") for j, (c, m) in enumerate(zip(x, center, strict=True))]).persist()
+    rows = d.df.select(F.col("y").alias("time"), (F.col("event") == 1).cast("double").alias("e"), *[(c - float(m)).alias(f"x{j}") for j, (c, m) in enumerate(zip(x, center, strict=True))])
+    rows = rows.withColumn("part", range_of(rows, "time")).persist()
     cells = [(i, j) for i in range(k) for j in range(i, k)]
     beta, done, used, llf, null = np.zeros(k), False, 0, 0.0, None
     try:
@@ -142,9 +122,9 @@ def cox(df: DataFrame, formula, event: str, max_iter: int = 200, tol: float = 1e
             for b, c in zip(beta, x, strict=True):
                 eta = eta + float(b) * c
             w = F.exp(eta)
-            by = rows.groupBy("time").agg(F.sum("e").alias("d"), F.sum(F.col("e") * eta).alias("l"), *[F.sum(F.col("e") * c).alias(f"s{j}") for j, c in enumerate(x)], F.sum(w).alias("a"), *[F.sum(w * c).alias(f"b{j}") for j, c in enumerate(x)], *[F.sum(w * x[i] * x[j]).alias(f"c{i}_{j}") for i, j in cells])
+            by = rows.groupBy("part", "time").agg(F.sum("e").alias("d"), F.sum(F.col("e") * eta).alias("l"), *[F.sum(F.col("e") * c).alias(f"s{j}") for j, c in enumerate(x)], F.sum(w).alias("a"), *[F.sum(w * c).alias(f"b{j}") for j, c in enumerate(x)], *[F.sum(w * x[i] * x[j]).alias(f"c{i}_{j}") for i, j in cells])
             names = ["a", *[f"b{j}" for j in range(k)], *[f"c{i}_{j}" for i, j in cells]]
-            t = _later(by, names).filter("d > 0")
+            t = _later(by, names, part="part").filter("d > 0")
             a, m = F.col("a_r"), [F.col(f"b{j}_r") / F.col("a_r") for j in range(k)]
             got = sums(t, [F.col("l") - F.col("d") * F.log(a), *[F.col(f"s{j}") - F.col("d") * m[j] for j in range(k)], *[F.col("d") * (F.col(f"c{i}_{j}_r") / a - m[i] * m[j]) for i, j in cells]])
             llf, grad = got[0], got[1 : 1 + k]

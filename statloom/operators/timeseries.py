@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.optimize import minimize
-from statloom.operators.base import Model, numbered, with_lags
+from statloom.operators.base import Model
 from statloom.operators.linear import fit_ols
 from statloom.plans.formula import Design, InsufficientData, InvalidInput
 from statloom.plans.gram import cross, solve_spd, sums
+from statloom.plans.order import numbered, running, with_lags
 
 
 def _series(df: DataFrame, order: str, *columns: str) -> DataFrame:
@@ -140,9 +141,7 @@ def kpss(df: DataFrame, y: str, order: str, lags: int, trend: bool = False) -> U
     g, (n,) = cross(s, [*x, F.col("v0")], extra=[F.lit(1)])
     beta, _ = solve_spd(g[:-1, :-1], g[:-1, -1])
     fit = sum((float(b) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
-    from statloom.operators.survival import _so_far
-
-    rows = _so_far(s.select("ord", (F.col("v0") - fit).alias("e")), ["e"], "ord")
+    rows = running(s.select("ord", (F.col("v0") - fit).alias("e")), {"e_s": ("sum", F.col("e"))}, "ord")
     lagged = with_lags(rows, ["e"], list(range(1, lags + 1)))
     got = sums(lagged, [F.col("e_s") ** 2, F.col("e") ** 2, *[F.col("e") * F.col(f"e_{k}") for k in range(1, lags + 1)]])
     variance = got[1] + 2 * sum((1 - k / (lags + 1)) * got[1 + k] for k in range(1, lags + 1))

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.plans.order import dense_ids
+
 
 class StatError(ValueError):
     """Base of the library's errors."""
@@ -228,7 +230,5 @@ def drop_missing(df: DataFrame) -> DataFrame:
 def group_ids(df: DataFrame, column: str, name: str = "group_id") -> DataFrame:
     """``df`` with dense ids of a column's sorted values; the distinct values are ranked
     and joined back, so no window runs over all rows."""
-    from pyspark.sql import Window
-
-    ranked = df.select(F.col(f"`{column}`").alias("__v")).distinct().withColumn(name, F.dense_rank().over(Window.orderBy("__v")) - 1)
+    ranked = dense_ids(df.select(F.col(f"`{column}`").alias("__v")).distinct(), "__v", name)
     return df.join(ranked, F.col(f"`{column}`").eqNullSafe(F.col("__v"))).drop("__v")

@@ -72,7 +72,8 @@ def solve_spd(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = np.linalg.cholesky(a / np.outer(scale, scale))
     except np.linalg.LinAlgError as e:
         raise SingularMatrix("the design's columns are linearly dependent") from e
-    if np.diag(root).min() < 1e-9:
+    # a dependent column leaves the rounding of its sums, some 1e-14, as its squared pivot
+    if (np.diag(root) ** 2).min() < len(a) * 1e-13:
         raise SingularMatrix("the design's columns are linearly dependent")
     half = np.linalg.inv(root)
     inverse = half.T @ half / np.outer(scale, scale)

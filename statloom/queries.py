@@ -126,7 +126,7 @@ def ols_hac_errors(spark, sf):
     return row(spark, se=li.ols(events(spark, sf), "v ~ u", cov=hac(2), order="i").se[1])
 
 
-@query(f"{_RESID} SELECT pos, round(max(h), 9) AS leverage, round(max(e / sqrt((1 - h) * s2)), 6) AS studentized FROM r, (SELECT sum(e * e) / (max(n) - 2) AS s2 FROM r) WHERE okey < 100 AND line = 1 GROUP BY pos HAVING count(*) = 1")
+@query(f"{_RESID} SELECT pos, round(h, 9) AS leverage, round(e / sqrt((1 - h) * s2), 6) AS studentized FROM r, (SELECT sum(e * e) / (max(n) - 2) AS s2 FROM r)")
 def ols_influence(spark, sf):
     m = li.ols(lines(spark, sf), "price ~ qty", order="pos")
     return li.influence(m).select(F.col("ord").alias("pos"), F.round("leverage", 9).alias("leverage"), F.round("studentized", 6).alias("studentized"))
@@ -314,7 +314,7 @@ def treatment_ipw(spark, sf):
     return row(spark, ate=pa.ipw(lines(spark, sf), "many", "price", ["returned"]).ate)
 
 
-@query(f"SELECT pos, round(coalesce(CASE WHEN line = 2 THEN NULL ELSE price END, (SELECT avg(price) FROM {L} WHERE line <> 2)), 6) AS price FROM {L} WHERE okey < 200")
+@query(f"SELECT pos, round(coalesce(CASE WHEN line = 2 THEN NULL ELSE price END, (SELECT avg(price) FROM {L} WHERE line <> 2)), 6) AS price FROM {L}")
 def impute_mean(spark, sf):
     d = lines(spark, sf).select("pos", F.when(F.col("line") != 2, F.col("price")).alias("price"))
     return pa.mean_impute(d, ["price"]).select("pos", F.round("price", 6).alias("price"))
@@ -636,7 +636,7 @@ def formula_design(spark, sf):
     return row(spark, n=r[0], log_price=round(r[1], 4), cross=round(r[2], 4), level_n=int(r[3]))
 
 
-@query(f"SELECT pos, round(a + b * qty, 6) AS prediction FROM {L}, (SELECT regr_slope(price, qty) b, regr_intercept(price, qty) a FROM {L}) WHERE okey < 500")
+@query(f"SELECT pos, round(a + b * qty, 6) AS prediction FROM {L}, (SELECT regr_slope(price, qty) b, regr_intercept(price, qty) a FROM {L})")
 def predict(spark, sf):
     d = lines(spark, sf)
     return li.ols(d, "price ~ qty").predict(d).select("pos", F.round("prediction", 6).alias("prediction"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.operators import descriptive, glm, hypothesis, linear, panel, power, smoothing, statespace, survival, timeseries
-from statloom.operators.base import hac, norm_cdf_column, with_lags
+from statloom.operators.base import hac, norm_cdf_column
 from statloom.operators.plot import Plot
-from statloom.plans import formula
+from statloom.plans import formula, order
 
 
 @pytest.fixture(scope="module")
@@ -107,9 +107,12 @@ def test_wide_gram_equals_narrow(spark, monkeypatch, df):
     assert linear.ols(df, "y ~ x1 + x2 + w").coef == pytest.approx(one.coef)
 
 
-def test_singular(df):
-    with pytest.raises(formula.SingularMatrix):
-        linear.ols(df.withColumn("z", 2 * F.col("x1")), "y ~ x1 + z")
+@pytest.mark.parametrize("parts", range(1, 11))
+def test_singular(df, parts):
+    rows = df.withColumns({"z": 2 * F.col("x1"), "v": F.col("x1") + 3 * F.col("x2") - 1}).repartition(parts)
+    for design_ in ("y ~ x1 + z", "y ~ x1 + x2 + v"):
+        with pytest.raises(formula.SingularMatrix):
+            linear.ols(rows, design_)
 
 
 def test_logit_and_poisson(df, data):
@@ -204,7 +207,7 @@ def test_survival(df, data):
 
 def test_lags_and_acf(df, data):
     y = data["y"].to_numpy()
-    got = with_lags(df.select(F.col("t").alias("ord"), "y"), ["y"], [1, 3]).orderBy("ord").toPandas()
+    got = order.with_lags(df.select(F.col("t").alias("ord"), "y"), ["y"], [1, 3]).orderBy("ord").toPandas()
     assert got["y_3"].to_numpy()[3:] == pytest.approx(y[:-3]) and got["y_1"].isna().sum() == 1
     c = y - y.mean()
     assert timeseries.acf(df, "y", "t", 2)[2] == pytest.approx(c[2:] @ c[:-2] / (c @ c))
