@@ -2,8 +2,8 @@
 
 A naive-Bayes classifier over binned text features learns domains from a labelled table
 and gives every document posteriors over the domains. One feature counts word beginnings
-that are learnt from all labelled rows: those that come back within toxic texts far more
-than within others. Document rates r in [0, most] are the nearest to 1,
+that are learnt from about ``sample_rows`` labelled rows of each domain: those that come
+back within toxic texts and stand in toxic texts more than in others. Document rates r in [0, most] are the nearest to 1,
 
     min 1/2 sum_i t_i (r_i - 1)^2   where   sum_i r_i t_i p_id = T_d for each domain d
 
@@ -13,7 +13,7 @@ expected total is within ``tol`` of its target (relative); ``Mixture`` holds wan
 achieved totals and whether they met, and a warning tells when they did not. A step needs
 the documents only through a few sums over the table of distinct features. A rate is a
 function of a document's posteriors and is computed in its own row: no shuffle of texts
-but the one that brings labels to texts for the word beginnings.
+(the sample of labelled ids, a documented bound, is sent to the tasks instead).
 
 Targets: the weights times a total at which the domain with the largest weight is wanted
 ``headroom`` more than there is. With ``most`` (``thin``: 1, no repeats) the total is free
@@ -43,10 +43,10 @@ from statloom.llm.common import materialize
 #: Weights of the domains in the mixed corpus (production parameters of the query).
 WEIGHTS = {"clean": 0.93, "low": 0.06, "toxic": 0.01}
 BINS = 24
-_INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "jerk")
-FEATURES = ("length", "non_ascii", "shouting", "lines", "signs", "insults", "repeats", "marks")
-#: Letters of a word beginning, and how many beginnings are learnt at most.
-BEGIN, MARKS = 5, 24
+FEATURES = ("length", "non_ascii", "shouting", "lines", "signs", "repeats", "marks")
+#: Letters of a word beginning, how many beginnings are learnt at most, and the labelled
+#: rows of a domain that they are learnt from, about.
+BEGIN, MARKS, SAMPLE_ROWS = 5, 64, 3000
 
 
 def _bin(x: Column) -> Column:
@@ -58,18 +58,28 @@ def token_count(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.lower(F.replace(text, F.lit("\n"), F.lit(" "))), " ", -1)
+
+
+def _marked(count: Column, size: Column) -> Column:
+    """Six steps of a count by four of its share of the text (about six characters a word)."""
+    share = count * 6000 / size
+    steps = F.when(count < 4, count).when(count < 7, 4).otherwise(5)
+    return (steps * 4 + F.when(share < 2, 0).when(share < 6, 1).when(share < 20, 2).otherwise(3)).cast("int")
+
+
 def features(text: Column, marks: tuple[str, ...] = ()) -> Column:
     """The binned features of a text, one small integer for each of FEATURES."""
     size = F.greatest(F.length(text), F.lit(1))
     many = lambda *signs: reduce(lambda a, b: a + b, [F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))) for s in signs])
-    found = reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in _INSULTS])
     middle = F.substring(text, (size / 2).cast("int") + 1, F.lit(10))
     again = F.length(text) - F.length(F.replace(text, middle, F.lit("")))
-    marked = reduce(lambda a, b: a + b, [(F.length(text) - F.length(F.replace(text, F.lit(f" {w}"), F.lit("")))) / F.lit(len(w) + 1) for w in marks], F.lit(0.0))
+    marked = F.size(F.filter(_words(text), lambda w: F.left(w, F.lit(BEGIN)).isin(*marks))) if marks else F.lit(0)
     return F.array(
         _bin(F.log2(size) * 1.5), _bin((F.octet_length(text) - F.length(text)) / size * 100), _bin(many("!") / size * 100),
-        _bin(many("\n") / size * 1000), _bin(many("*", "$", "#", "%", "&", "|") / size * 100), _bin(found),
-        _bin(again / size * 20), _bin(marked),
+        _bin(many("\n") / size * 1000), _bin(many("*", "$", "#", "%", "&", "|") / size * 100),
+        _bin(again / size * 20), _marked(marked, size),
     )
 
 
@@ -77,15 +87,26 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality.isNotNull() | toxic.isNotNull(), "clean")
 
 
-def learn_marks(docs: DataFrame, labels: DataFrame, domain: str = "toxic") -> tuple[str, ...]:
-    """Word beginnings that come back within texts of ``domain``: in 8 of its labelled
-    texts at least, and in as many of them as of all other labelled texts."""
-    # docs (id, text), labels (id, domain); all labelled rows are read
-    words = F.filter(F.split("text", " "), lambda w: F.length(w) >= BEGIN)
-    begins = F.sort_array(F.transform(words, lambda w: F.left(w, F.lit(BEGIN))))
-    twice = lambda a: F.array_distinct(F.filter(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()))
-    each = docs.join(labels.filter("domain is not null"), "id").select((F.col("domain") == domain).alias("of"), F.explode(F.get(F.transform(F.array(begins), twice), F.lit(0))).alias("begin"))
-    found = each.groupBy("begin").agg(F.count_if("of").alias("inside"), F.count_if(~F.col("of")).alias("outside")).filter("inside >= 8 and inside >= outside")
+def learn_marks(docs: DataFrame, labels: DataFrame, domain: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[str, ...]:
+    """Word beginnings that come back within 8 sampled texts of ``domain`` at least, and
+    that stand in as many of its texts as of all other labelled texts. The sample
+    holds about ``sample_rows`` labels of each domain, chosen by a hash of the id; what is
+    counted in it is scaled back to all labelled rows."""
+    named = labels.filter("domain is not null and id is not null")
+    # as many rows as domains
+    share = {r["domain"]: min(1.0, sample_rows / r["count"]) for r in named.groupBy("domain").count().collect()}
+    if domain not in share:
+        return ()
+    draw = F.pmod(F.xxhash64("id", F.lit("marks")), F.lit(1 << 30))
+    bound = F.element_at(F.create_map(*[F.lit(x) for d, p in share.items() for x in (d, int(p * (1 << 30)))]), F.col("domain"))
+    scale = F.element_at(F.create_map(*[F.lit(x) for d, p in share.items() for x in (d, 1 / p)]), F.col("domain"))
+    # about sample_rows rows a domain: small enough to send to every task
+    chosen = named.filter(draw < bound).select("id", (F.col("domain") == domain).alias("of"), scale.alias("weight"))
+    words = F.filter(_words(F.col("text")), lambda w: F.length(w) >= BEGIN)
+    each = docs.join(F.broadcast(chosen), "id").withColumn("row", F.monotonically_increasing_id()).select("row", "of", "weight", F.explode(F.transform(words, lambda w: F.left(w, F.lit(BEGIN)))).alias("begin"))
+    texts = each.groupBy("row", "of", "weight", "begin").agg(F.count(F.lit(1)).alias("n"))
+    of_texts = lambda cond: F.sum(F.when(cond, F.col("weight")).otherwise(0.0))
+    found = texts.groupBy("begin").agg(F.count_if(F.col("of") & (F.col("n") > 1)).alias("seen"), of_texts(F.col("of")).alias("inside"), of_texts(~F.col("of")).alias("outside")).filter("seen >= 8 and inside >= outside")
     return tuple(r["begin"] for r in found.orderBy(F.desc(F.expr("inside - outside")), "begin").limit(MARKS).collect())
 
 

@@ -248,6 +248,15 @@ def test_mixing_meets_its_targets(spark):
     for k, d in enumerate(mixture.posterior.domains):
         total = sum(x["rate"] * x["n_tokens"] * x["posteriors"][k] for x in out)
         assert total == pytest.approx(mixture.targets[d], rel=2e-3) and mixture.achieved[d] == pytest.approx(total, rel=1e-3)
+    # least squares by brute force: one multiplier a domain, found by Newton steps on all rows
+    p, t = np.array([x["posteriors"] for x in out]), np.array([float(x["n_tokens"]) for x in out])
+    goal, x_ = np.array([mixture.targets[d] for d in mixture.posterior.domains]), np.zeros(len(mixture.posterior.domains))
+    assert len(goal) == 3
+    for _ in range(200):
+        z = 1 + p @ x_
+        gap = goal - (t * np.maximum(z, 0)) @ p
+        x_ += 0.5 * np.linalg.solve((p * (t * (z > 0))[:, None]).T @ p + 1e-6 * np.eye(3), gap)
+    assert [x["rate"] for x in out] == pytest.approx(np.maximum(1 + p @ x_, 0), abs=5e-3)
     bad = {i for i, _, _, t in rows if t}
     kept = {x["doc_id"] for x in mixing.thin(df, labels).collect()}
     assert len(kept & bad) < 0.03 * len(kept) and len(kept) > 900
@@ -409,3 +418,23 @@ def test_clashing_names(spark, docs):
     for query in (licenses.licenses_query, sentencepiece_bpe.sentencepiece_query, substring.dedup, secrets.secrets_query, fingerprints.fingerprint_query, language_id.language_query):
         odd = clashing(docs, "n_words", "labels", "spans", "fp", "th", "n_tokens", "lang_pred", "held_out")
         assert query(odd).count() == len(ROWS)
+
+
+@pytest.mark.parametrize(("k", "threshold", "limit"), [(4, 85, 512), (5, 80, 3), (1, 70, 4)])
+def test_jaccard_pairs(docs, k, threshold, limit):
+    """Every link between different sets, and every row's number of links."""
+    pairs, rows = jaccard_join.join_pairs(docs, k=k, threshold=threshold, limit=limit)
+    sets, least, copies = {}, {}, {}
+    for i, t, *_ in ROWS:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower(t or "")) if w]
+        s = frozenset(tuple(words[x : x + k]) for x in range(max(len(words) - k + 1, 1))) if words else frozenset()
+        sets[(i, t)] = s
+        copies[s] = copies.get(s, 0) + 1
+        if i is not None:
+            least[s] = min(least.get(s, i), i)
+    kinds = [s for s in copies if s]
+    near = {(a, b) for a in kinds for b in kinds if a is not b and 100 * len(a & b) >= threshold * len(a | b)}
+    assert near
+    same([(r["u"], r["v"]) for r in pairs.collect()], [(x, y) for x, y in ((least.get(a), least.get(b)) for a, b in near) if x is not None and y is not None and x < y])
+    want = [(i, least.get(sets[(i, t)]), copies[sets[(i, t)]] - 1 + sum(copies[b] for a, b in near if a is sets[(i, t)] or a == sets[(i, t)])) for i, t, *_ in ROWS if sets[(i, t)]]
+    same(rows.collect(), want)
