@@ -4,6 +4,10 @@ Every round joins each node's neighbours to the smallest one (first the larger
 neighbours, then the smaller); the edges end as stars around each component's smallest
 node. A round moves O(edges) rows, hubs are summed up before each shuffle, and no
 component is ever gathered anywhere. Rounds repeat until nothing changes.
+
+The few nodes with very many neighbours (*hubs*, fewer than HUBS) are sent to all tasks
+with their answer, so their edges stay where they are; only the edges of other nodes are
+dealt out by node, and no task gets a hub's edges together.
 """
 
 from __future__ import annotations
@@ -14,6 +18,24 @@ from pyspark.sql import functions as F
 from statloom.llm.common import materialize
 
 
+#: Rows that make a hub at least, and how many keys can be hubs.
+HUB, HUBS = 64, 8192
+
+
+def told(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` by ``key``, which is unique there; ``n`` of the table
+    is how many of the ``total`` rows (or fewer) hold the key. Keys of more than HUB rows
+    and more than total / HUBS, of which there are fewer than HUBS, are sent to all tasks
+    and their rows stay where they are; other rows are dealt out by the key. With ``how``
+    left, rows without a key in the table stay."""
+    many = F.col("n") > max(HUB, -(-total // HUBS))
+    new = [c for c in table.columns if c not in (key, "n")]
+    hubs = table.filter(many).select(F.col(key).alias("__h"), F.struct(*new).alias("__m"))
+    marked = rows.join(F.broadcast(hubs), F.col(key) == F.col("__h"), "left")
+    here = marked.filter("__h is not null").select(*rows.columns, "__m.*")
+    return here.unionByName(marked.filter("__h is null").select(*rows.columns).join(table.filter(~many).select(key, *new), key, how).select(*rows.columns, *new))
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -26,13 +48,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges, "edges")
     mark = _mark(edges)
     while True:
+        count = mark[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = told(both.filter("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's edge to its own smallest neighbour stays, else two stars could part
         large = large.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large, "stars")  # at most as many rows as edges and nodes
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = told(large, least, "u", 3 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = materialize(edges, "edges")
         now = _mark(edges)
