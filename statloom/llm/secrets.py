@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency; DataFrame functions only.
 
 A text's candidate spans come from patterns (the three base kinds and some formats of
-well-known issuers). Spark gives matched strings but no places, so places are rebuilt:
+well-known issuers; a private key's span runs to its END line, and its body is what is
+counted). Spark gives matched strings but no places, so places are rebuilt:
 ``split`` gives the text between the matches of a pattern, and running lengths of both
 are the places. Candidate values are then hashed and counted over the whole corpus by
 distinct repositories and owners: a value that many owners hold is a widely copied
@@ -9,8 +10,11 @@ example; one that few hold, and that is no placeholder, looks live.
 
 Places are code points, ends exclusive. Defined results: a null text is an empty one
 with no span; a null source counts as one unnamed repository; rows are judged one by one,
-so repeated rows give repeated results. The same value in many rows of one owner still
-counts as one owner.
+so repeated rows give repeated results; an empty table gives none. The same value in many
+rows of one owner still counts as one owner. A key block without a body is never live. Very
+long texts are scanned whole. Input columns named like new ones are replaced; ``redact``
+leaves all other columns, whatever their names, as they are. The query's ``ownership`` has
+owners/repositories of every span's value, in the order of ``spans``.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.common import materialize
+from statloom.llm.components import told
 
 #: Fixed patterns of the base kinds, in their order.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,7 +32,7 @@ HEX = r"[0-9a-f]{24,}"  # runs are maximal, so this is every run of 24 or more
 KINDS = ("assign", "access", "hex")
 #: What the method adds: kind, pattern, and a string that every match holds.
 ADDED = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY-----"),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:GAP(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:GAP[A-Za-z0-9+/=]{16,}+)*+(?:GAP(?:[A-Za-z0-9+/=]{1,76}GAP)?-----END [A-Z ]*PRIVATE KEY-----)?".replace("GAP", r"(?:\s|\\[nr])*+"), "PRIVATE KEY-----"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "_"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox"),
@@ -83,46 +88,70 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def ownership(candidates: DataFrame, source_col: str = "source") -> DataFrame:
-    """Distinct repositories and owners by hash of a candidate value, over the corpus.
+def secret_of(value: Column) -> Column:
+    """What a span keeps secret: the body of a key block, else the value itself."""
+    body = F.regexp_replace(value, r"-----[A-Z ]+-----|\\[nr]|\s|(?:Proc-Type|DEK-Info):[^\n]*", "")
+    return F.when(F.startswith(value, F.lit("-----BEGIN")), body).otherwise(value)
 
-    ``candidates`` has ``spans`` and the source of each row; the owner is the source's
-    part before a slash. Repeats fall away before the shuffle, so one value that a third
-    of all rows hold moves as one row a task and source."""
+
+def ownership(candidates: DataFrame, source_col: str = "source", owner_col: str | None = None) -> DataFrame:
+    """Distinct repositories and owners by hash of a candidate's secret, over the corpus.
+
+    ``candidates`` has ``spans`` and the source of each row; the owner is ``owner_col``,
+    or else the source's part before a slash (without a slash, owner and repository are
+    one). Repeats fall away before the shuffle, so one value that a third of all rows hold
+    moves as one row a task and source."""
     source = F.coalesce(F.col(source_col), F.lit(""))
-    each = candidates.select(source.alias("repository"), F.explode("spans").alias("s")).select("repository", F.substring_index("repository", "/", 1).alias("owner"), F.sha2("s.value", 256).alias("hash"))
+    owner = F.coalesce(F.col(owner_col), F.lit("")) if owner_col else F.substring_index(source, "/", 1)
+    each = candidates.select(source.alias("repository"), owner.alias("owner"), F.explode("spans").alias("s")).select("repository", "owner", F.sha2(secret_of(F.col("s.value")), 256).alias("hash"))
     by_owner = each.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("places"))
-    return by_owner.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"), F.sum("places").alias("places"))
+    return by_owner.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"), F.sum("places").alias("n"))
 
 
-def scan(docs: DataFrame, text_col: str = "text", source_col: str = "source", example_owners: int = 3) -> DataFrame:
-    """``docs`` with ``spans`` and ``live``: all spans, and the distinct values that few
-    owners hold (fewer than ``example_owners``) and that are no placeholders."""
-    names = [c for c in docs.columns if c not in ("spans", "live")]
-    keep = [f"`{c}`" for c in names]
-    marked = docs.select(*keep).withColumn("spans", candidate_spans(F.coalesce(F.col(text_col), F.lit(""))))
-    clean = marked.filter(F.size("spans") == 0).withColumn("live", F.expr("cast(array() as array<string>)"))
+def judge(marked: DataFrame, source_col: str = "source", owner_col: str | None = None, example_owners: int = 3) -> DataFrame:
+    """``marked`` (with ``spans``) and ``values``: value, owners, repositories and live of
+    each distinct value of a row."""
+    none = F.expr("cast(array() as array<struct<value:string,owners:bigint,repositories:bigint,live:boolean>>)")
+    names = [f"`{c}`" for c in marked.columns]
+    clean = marked.filter(F.size("spans") == 0).withColumn("values", none)
     # only rows with a candidate need the corpus; their number and place are fixed here
     held = materialize(marked.filter(F.size("spans") > 0).withColumn("__key", F.monotonically_increasing_id()), "secrets")
-    counts = ownership(held, source_col)
-    each = held.select("__key", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value")).withColumn("hash", F.sha2("value", 256))
-    live = (
-        each.join(counts, "hash")
-        .filter((F.col("owners") < example_owners) & ~F.col("value").rlike(PLACEHOLDER))
-        .groupBy("__key").agg(F.sort_array(F.collect_set("value")).alias("live"))
-    )
-    judged = held.join(live, "__key", "left").select(*keep, "spans", F.coalesce("live", F.expr("cast(array() as array<string>)")).alias("live"))
-    return clean.select(*keep, "spans", "live").unionByName(judged)
+    counts = ownership(held, source_col, owner_col)
+    each = held.select("__key", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
+    each = materialize(each.withColumn("hash", F.sha2(secret_of(F.col("value")), 256)), "candidates")
+    secret = secret_of(F.col("value"))
+    live = (F.col("owners") < example_owners) & (F.length(secret) > 0) & ~secret.rlike(PLACEHOLDER)
+    # a value of very many rows is told to all tasks, its rows are no group of a join
+    judged = told(each, counts, "hash", each.count()).select("__key", F.struct("value", "owners", "repositories", live.alias("live")).alias("v"))
+    judged = judged.groupBy("__key").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    return clean.unionByName(held.join(judged, "__key", "left").select(*names, F.coalesce("values", none).alias("values")))
+
+
+def scan(docs: DataFrame, text_col: str = "text", source_col: str = "source", owner_col: str | None = None, example_owners: int = 3) -> DataFrame:
+    """``docs`` with ``spans``, ``values`` and ``live``: all spans; the distinct values with
+    their owners and repositories; and those that few owners hold (fewer than
+    ``example_owners``) and that are no placeholders. Columns of these names are replaced."""
+    names = [c for c in docs.columns if c not in ("spans", "values", "live")]
+    marked = docs.select(*[f"`{c}`" for c in names]).withColumn("spans", candidate_spans(F.coalesce(F.col(text_col), F.lit(""))))
+    return _with_live(judge(marked, source_col, owner_col, example_owners))
+
+
+def _with_live(judged: DataFrame) -> DataFrame:
+    return judged.withColumn("live", F.transform(F.filter("values", lambda v: v["live"]), lambda v: v["value"]))
 
 
 def secrets_query(docs: DataFrame) -> DataFrame:
-    found = scan(docs.select("doc_id", "text", "source"))
+    # the patterns run once: what they find is written without the texts
+    marked = docs.select("doc_id", "source", candidate_spans(F.coalesce("text", F.lit(""))).alias("spans"))
+    found = _with_live(judge(materialize(marked, "spans")))
+    held = lambda s: F.get(F.filter("values", lambda v: v["value"] == s["value"]), F.lit(0))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
     return found.select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: F.array_contains("live", s["value"]))).cast("long").alias("n_live"),
+        F.array_join(F.transform("spans", lambda s: _let(held(s), lambda v: F.concat_ws("/", v["owners"].cast("string"), v["repositories"].cast("string")))), ",").alias("ownership"),
     )
 
 

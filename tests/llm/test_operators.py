@@ -208,6 +208,20 @@ def test_secret_owners(spark):
     assert {r["spans"] for r in secrets.scan(df.withColumn("spans", F.lit(1))).filter("doc_id = 6").select(F.size("spans").alias("spans")).collect()} == {0}
 
 
+def test_private_keys(spark):
+    body = "MIIEpAIBAAKCAQEA7bq\nZs0/+1aXw==\n"
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    other = block.replace("MIIE", "MIIF")
+    rows = [(1, f"a\n{block}\nb", "a"), (2, other, "a"), (3, "x " + other.replace("\n", " ") + " y", "b"), (4, other, "c"), (5, "-----BEGIN PRIVATE KEY----- of what kind", "a"), (6, block[:60], "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    found = {r["doc_id"]: r for r in secrets.secrets_query(df).collect()}
+    assert found[1]["spans"] == f"pem:2:{2 + len(block)}" and found[1]["ownership"] == "1/1" and found[1]["n_live"] == 1
+    assert found[3]["ownership"] == "3/3" and found[3]["n_live"] == 0  # the same body, with other blanks
+    assert (found[5]["spans"], found[5]["n_live"], found[6]["spans"]) == ("pem:0:27", 0, "pem:0:51")
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert kept[1] == "a\n[secret]\nb" and kept[2] == other and kept[4] == other
+
+
 # ---------------------------------------------------------------- 6
 
 
