@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that are worked on at once in Python.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of an Arrow batch between JVM and Python, where the session has Spark's default,
+#: and of the texts that a task packs together.
+BATCH_BYTES, GATHER_BYTES = 8 << 20, 16 << 20
 
 
 # ---------------------------------------------------------------- shared tables
@@ -64,6 +67,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- Arrow text access
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Long texts make large batches, which the JVM and every Python worker hold beside
+    what they work on: the session's default bound is lowered, another setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == "67108864":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes, one incoming batch at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size or any(b.num_rows for b in held):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+_KEPT: dict = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one operator. Workers serve many
+    operators one after the other; the next operator's first task frees it."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+        pa.default_memory_pool().release_unused()
+    return _KEPT[owner]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, is-null) of a string column, without a copy of the bytes."""
     if pa.types.is_large_string(column.type):
@@ -90,7 +128,7 @@ def spans(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def with_arrow_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[pa.Array], list]) -> DataFrame:
+def with_arrow_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[pa.Array], list], owner: str = "") -> DataFrame:
     """``df`` with columns that ``make`` computes from the text column, batch by batch.
 
     ``make`` returns one array for each of ``fields``. A column of ``df`` that has the
@@ -100,11 +138,14 @@ def with_arrow_columns(df: DataFrame, text_col: str, fields: list[T.StructField]
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType(kept + fields)
     arrow = to_arrow_schema(T.StructType(fields))
+    bounded_batches(df.sparkSession)
+    owner = owner or arrow.names[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            worker_cache(owner)
             made = [pa.array(x, f.type) if not isinstance(x, pa.Array) else x for x, f in zip(make(batch.column(text_col)), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + made, [f.name for f in kept] + arrow.names)
 
@@ -140,12 +181,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; kept for chunks of the usual size."""
-    kept = _POWERS.get(base)
+    table = next(iter(_KEPT.values()), {}).setdefault("powers", {})
+    kept = table.get(base)
     if kept is not None and len(kept[0]) >= n:
         return kept
     size = max(n, CHUNK + 64)
@@ -156,7 +197,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         out.append(np.multiply.accumulate(p))
     made = (out[0], out[1])
     if size <= 4 * CHUNK:
-        _POWERS[base] = made
+        table[base] = made
     return made
 
 

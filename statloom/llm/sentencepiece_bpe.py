@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from statloom.llm.common import CHUNK, spans, text_buffer, with_arrow_columns
+from statloom.llm.common import CHUNK, spans, text_buffer, with_arrow_columns, worker_cache
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -252,15 +252,13 @@ class PrefixTable:
         return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
 
 
-_TABLES: dict[int, PrefixTable] = {}
-
-
 def _table(vocabulary: Vocabulary) -> PrefixTable:
+    tables = worker_cache("sentencepiece")
     key = hash((vocabulary.pieces, vocabulary.scores))
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = PrefixTable(vocabulary)
-    return _TABLES[key]
+    if key not in tables:
+        tables.clear()
+        tables[key] = PrefixTable(vocabulary)
+    return tables[key]
 
 
 def _texts(column: pa.Array):
@@ -281,7 +279,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
             back.append(table.decode(ids[-1]))
         return [ids, back]
 
-    return with_arrow_columns(docs, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], make)
+    return with_arrow_columns(docs, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], make, "sentencepiece")
 
 
 def encode_digests(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -291,7 +289,7 @@ def encode_digests(docs: DataFrame, model_path: str, text_col: str = "text") ->
 
     def make(column: pa.Array) -> list:
         table = _table(share.value)
-        gc.disable()  # nothing here makes cycles, and the caches are slow to search for them
+        gc.disable()  # nothing here makes cycles; the search walks all of a cache of 10^5 entries
         try:
             rows = [table.digest(t) for t in _texts(column)]
         finally:
@@ -299,7 +297,7 @@ def encode_digests(docs: DataFrame, model_path: str, text_col: str = "text") ->
         return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return with_arrow_columns(docs, text_col, fields, make)
+    return with_arrow_columns(docs, text_col, fields, make, "sentencepiece")
 
 
 def default_model() -> str:

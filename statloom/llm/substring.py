@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Words, materialize, rolling, sliding_min, spans, text_buffer
+from statloom.llm.common import Words, bounded_batches, gathered, materialize, rolling, sliding_min, spans, text_buffer, worker_cache
 from statloom.llm.packed import ARROW, SCHEMA, Rows, split_by, text_bytes, unpack
 
 SPAN, GRAM = 50, 25
@@ -52,7 +52,8 @@ def _first_pass(span: int, gram: int, buckets: int):
     """Anchors of every document, packed, and every document's own figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache("words")
+        for batch in gathered(batches):
             rows = Rows()
             raw, offsets, _ = text_buffer(batch.column("text"))
             ids, th = batch.column("doc_id").to_pylist(), batch.column("th").to_numpy(zero_copy_only=False)
@@ -124,7 +125,8 @@ def _windows(span: int, gram: int, buckets: int):
     are settled at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache("words")
+        for batch in gathered(batches):
             rows = Rows()
             raw, offsets, _ = text_buffer(batch.column("text"))
             number, th = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("th").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -268,7 +270,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     in ``batches`` steps of rising ids."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     size = text_bytes(texts)
-    first = materialize(texts.mapInArrow(_first_pass(span, gram, max(32, size >> 26)), SCHEMA), "anchors")
+    bounded_batches(docs.sparkSession)
+    first = materialize(texts.mapInArrow(_first_pass(span, gram, max(64, size >> 24)), SCHEMA), "anchors")
     flags = first.filter(F.col("kind").isin(_BLOB, _FLAG)).groupBy("bucket").applyInArrow(_shared_anchors, SCHEMA)
     by_doc = flags.groupBy("doc_id", "th").agg(F.collect_list("a").alias("tokens"))
     # rows that share id and text share one result, which the last join gives to each
