@@ -2,15 +2,19 @@
 
 The index is a list of sorted, immutable runs of window hashes, each hash with the
 smallest document id that holds the window. A new batch of documents (ids rise from
-batch to batch) is made into runs of its own, which are merge-joined with the index's
-runs bucket by bucket; what the index doesn't know yet becomes a new run, and runs are
-compacted into one when there are more than a few. Every match is verified by a second,
+batch to batch) is made into a sorted run of its own, which is merge-joined with the
+index's runs bucket by bucket; what the index doesn't know yet becomes a new run, and runs
+are merged into one when there are more than a few. Every match is verified by a second,
 independent hash of the window's words (96 bits together).
 
-So that only windows that can repeat are indexed at all, every window of ``span`` words
-names an *anchor* first: the smallest hash of its ``gram``-word runs. Equal windows have
-equal anchors, neighbouring windows share theirs, and an anchor that stands in one
-document only (most do) rules out all its windows. This loses nothing.
+``dedup`` removes repeats within one table; so that only windows that can repeat are
+indexed at all, every window of ``span`` words names an *anchor* first: the smallest hash
+of its ``gram``-word runs. Equal windows have equal anchors, neighbouring windows share
+theirs, and an anchor that stands in one document only (most do) rules out all its
+windows. This loses nothing. ``dedup_increment`` takes batches as they come: the index
+holds every window of what it has seen, can be saved and opened again, and is compacted
+as it grows. (``dedup`` fills its index in two batches at any size: it joins one run and
+does not compact.)
 
 Words are runs without ASCII white space, unchanged. A word is removed when a window
 over it also starts in a document with a smaller id, as the input stands. Defined
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm.common import Words, bounded_batches, gathered, materialize, rolling, sliding_min, spans, text_buffer, worker_cache
@@ -130,7 +134,7 @@ def _windows(span: int, gram: int, buckets: int):
             rows = Rows()
             raw, offsets, _ = text_buffer(batch.column("text"))
             number, th = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("th").to_numpy(zero_copy_only=False).astype(np.int64)
-            flagged = batch.column("tokens").to_pylist()
+            flagged = batch.column("tokens").to_pylist() if "tokens" in batch.schema.names else None
             out: list[tuple[np.ndarray, ...]] = []
             for i, j in spans(offsets):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -138,10 +142,10 @@ def _windows(span: int, gram: int, buckets: int):
                 at, anchor = _anchors(words, h, span, gram)
                 edge = np.searchsorted(words.doc[at], np.arange(j - i + 1))
                 keep = np.zeros(len(at), bool)
-                for k in range(j - i):
+                for k in range(j - i) if flagged is not None else ():
                     mine = slice(edge[k], edge[k + 1])
                     keep[mine] = np.isin(anchor[mine], np.frombuffer(b"".join(flagged[i + k]), np.uint64))
-                at = at[keep]
+                at = at[keep] if flagged is not None else at
                 doc = words.doc[at]
                 out.append((rolling(h, span)[at], (rolling(h, span, _CHECK_BASE)[at] >> np.uint64(32)).astype(np.uint32), doc + i, at - words.first[doc]))
             h, check, own, pos = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -182,40 +186,81 @@ def _merge_join(keep_run: bool):
         own = np.concatenate([p[:, 0] + b for p, b in zip(places, base[:-1], strict=True)])
         pos, doc = np.concatenate([p[:, 1] for p in places]), np.concatenate(docs)
         h, check, least = np.concatenate(unpack(new, "a", np.uint64)), np.concatenate(unpack(new, "b", np.uint32)), doc[own, 0]
-        fresh = len(h)
-        if old.num_rows:
-            h, check = np.concatenate([h, *unpack(old, "a", np.uint64)]), np.concatenate([check, *unpack(old, "b", np.uint32)])
-            least = np.concatenate([least, *unpack(old, "c", np.int64)])
-        order = np.lexsort((least, check, h))
-        h, check, least = h[order], check[order], least[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-        smallest = least[first][np.cumsum(first) - 1]
-        late = order[(least > smallest) & (order < fresh)]
+        order, first = _sorted_run(h, check, least)
+        key, second, smallest = h[order][first], check[order][first], least[order][first]
+        unknown = np.ones(len(key), bool)
+        for run_h, run_check, run_least in zip(*(unpack(old, c, k) for c, k in (("a", np.uint64), ("b", np.uint32), ("c", np.int64))), strict=True):
+            at = _find(run_h, run_check, key, second)
+            known = at >= 0
+            smallest[known] = np.minimum(smallest[known], run_least[at[known]])
+            unknown &= ~known
+        late = order[least[order] > smallest[np.cumsum(first) - 1]]
         for k, mine in split_by(own[late], pos[late]):
             rows.add(_DONE, doc_id=int(doc[k, 0]), th=int(doc[k, 1]), a=mine)
         if keep_run:
-            mine = first & (order < fresh)  # the smallest id is the batch's own
-            rows.add(_RUN, bucket=bucket, a=h[mine], b=check[mine], c=least[mine])
+            rows.add(_RUN, bucket=bucket, a=key[unknown], b=second[unknown], c=smallest[unknown])
         return rows.table()
 
     return run
 
 
-def _compact(table: pa.Table) -> pa.Table:
-    """Merge a bucket's runs into one; each window keeps its smallest id."""
-    rows = Rows()
-    h, check, least = (np.concatenate(unpack(table, c, k)) for c, k in (("a", np.uint64), ("b", np.uint32), ("c", np.int64)))
+def _sorted_run(h: np.ndarray, check: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by hash, check and id; where each distinct window begins in it)."""
     order = np.lexsort((least, check, h))
-    h, check, least = h[order], check[order], least[order]
+    h, check = h[order], check[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-    rows.add(_RUN, bucket=table.column("bucket")[0].as_py(), a=h[first], b=check[first], c=least[first])
+    return order, first
+
+
+def _find(run_h: np.ndarray, run_check: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where each window of one sorted run stands in another, or -1."""
+    at = np.searchsorted(run_h, h)
+    out = np.full(len(h), -1, np.int64)
+    open_ = np.arange(len(h))
+    while True:  # once, but for windows that share the hash and not the check
+        open_ = open_[at[open_] < len(run_h)]
+        open_ = open_[run_h[at[open_]] == h[open_]]
+        if not len(open_):
+            return out
+        hit = run_check[at[open_]] == check[open_]
+        out[open_[hit]] = at[open_[hit]]
+        open_ = open_[~hit]
+        at[open_] += 1
+
+
+def _merge(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two sorted runs (hash, check, least id) as one; each window keeps its smallest id."""
+    at = _find(a[0], a[1], b[0], b[1])
+    known = at >= 0
+    least = a[2].copy()
+    least[at[known]] = np.minimum(least[at[known]], b[2][known])
+    place = np.searchsorted(a[0], b[0][~known]) + np.arange(int((~known).sum()))
+    out = []
+    for x, y in ((a[0], b[0][~known]), (a[1], b[1][~known]), (least, b[2][~known])):
+        z = np.empty(len(x) + len(y), x.dtype)
+        old = np.ones(len(z), bool)
+        old[place] = False
+        z[place], z[old] = y, x
+        out.append(z)
+    return tuple(out)
+
+
+def _compact(table: pa.Table) -> pa.Table:
+    """Merge a bucket's runs into one, the smaller ones first."""
+    rows = Rows()
+    runs = sorted(zip(*(unpack(table, c, k) for c, k in (("a", np.uint64), ("b", np.uint32), ("c", np.int64))), strict=True), key=lambda r: -len(r[0]))
+    while len(runs) > 1:
+        runs.append(_merge(runs.pop(-2), runs.pop(-1)))
+        runs.sort(key=lambda r: -len(r[0]))
+    h, check, least = runs[0]
+    rows.add(_RUN, bucket=table.column("bucket")[0].as_py(), a=h, b=check, c=least)
     return rows.table()
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window hashes in the shared folder."""
+    """Sorted immutable runs of window hashes in the shared folder. ``save`` writes them
+    to a folder that ``open`` reads in another session."""
 
     def __init__(self, buckets: int, span: int = SPAN, gram: int = GRAM, max_runs: int = 4):
         self.buckets, self.span, self.gram, self.max_runs = buckets, span, gram, max_runs
@@ -237,6 +282,18 @@ class FingerprintIndex:
                 self.compact()
         return found.filter(F.col("kind") == _DONE).select("doc_id", "th", "a")
 
+    def save(self, path: str) -> None:
+        self.compact()
+        spark = self.runs[0].sparkSession
+        spark.createDataFrame([(self.buckets, self.span, self.gram, self.max_runs)], "buckets long, span int, gram int, max_runs int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        self.runs[0].write.mode("overwrite").parquet(f"{path}/run")
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> FingerprintIndex:
+        index = FingerprintIndex(*spark.read.parquet(f"{path}/meta").first())
+        index.runs = [spark.read.schema(SCHEMA).parquet(f"{path}/run")]
+        return index
+
     def compact(self) -> None:
         rows = self.runs[0]
         for run in self.runs[1:]:
@@ -265,6 +322,30 @@ def _remaining(span: int):
     return run
 
 
+def dedup_increment(index: FingerprintIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of a new batch, against all batches before
+    it and itself; its windows join the index. Ids are not below those of earlier batches."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    bounded_batches(docs.sparkSession)
+    found = index.probe(texts.filter("doc_id is not null")).groupBy("doc_id", "th").agg(F.collect_list("a").alias("places"))
+    left = texts.join(found, ["doc_id", "th"]).mapInArrow(_remaining(index.span), SCHEMA).groupBy("doc_id", "th").agg(F.first("n").alias("gone"), F.first("s").alias("left"))
+    return _results(texts.mapInArrow(_figures, SCHEMA), left)
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every document's own figures."""
+    for batch in batches:
+        rows = Rows()
+        for i, th, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
+            words = t.encode().split()
+            rows.add(_ROW, doc_id=i, th=th, n=len(words), s=_digest(words))
+        yield rows.batch()
+
+
+def _results(own: DataFrame, left: DataFrame) -> DataFrame:
+    return own.join(left, ["doc_id", "th"], "left").select("doc_id", F.col("n").alias("n_words"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left", "s").alias("kept_sha256"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, by an index that is filled
     in ``batches`` steps of rising ids."""
@@ -291,10 +372,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     by_doc = places.groupBy("doc_id", "th").agg(F.collect_list("a").alias("places"))
     left = suspects.select("doc_id", "th", "text").join(by_doc, ["doc_id", "th"]).mapInArrow(_remaining(span), SCHEMA)
     left = left.groupBy("doc_id", "th").agg(F.first("n").alias("gone"), F.first("s").alias("left"))
-    return (
-        first.filter(F.col("kind") == _ROW).select("doc_id", "th", "n", "s").join(left, ["doc_id", "th"], "left")
-        .select("doc_id", F.col("n").alias("n_words"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left", "s").alias("kept_sha256"))
-    )
+    return _results(first.filter(F.col("kind") == _ROW).select("doc_id", "th", "n", "s"), left)
 
 
 DEDUP_SQL = r"""
