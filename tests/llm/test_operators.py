@@ -86,6 +86,20 @@ def test_topk(spark, blocks):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_threshold_stops_early():
+    """Where few components carry the scores, few candidates are scored; a floor saves more."""
+    r = np.random.default_rng(5)
+    rows = np.floor(r.normal(size=(4000, 12)) * 40 / 3.0 ** np.arange(12))
+    lists = topk.Lists(np.arange(4000), rows)
+    for q in (0, 17, 400):
+        ids, scores, scored = lists.search(q, rows[q], 5)
+        want = sorted((-s, i) for i, s in enumerate(rows @ rows[q]) if i != q)[:5]
+        assert list(zip(-scores, ids, strict=True)) == want and scored < 2000
+        again = lists.search(q, rows[q], 5, scores[-1])
+        assert again[0].tolist() == ids.tolist() and again[2] <= scored
+        assert len(lists.search(q, rows[q], 5, scores[0] + 1)[0]) == 0
+
+
 def test_topk_large_components(spark):
     df = spark.createDataFrame([(0, [1e12, 3.0]), (1, [2.0, 1e4]), (2, [5.0, 5.0])], "vec_id long, embedding array<double>")
     got = topk.search(df, df.filter("vec_id = 0")).collect()
@@ -112,6 +126,31 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_notices(spark, none):
+    """Labels, places and score of the notices against a scan word by word."""
+    r = random.Random(8)
+    texts = []
+    for label, notice, _ in licenses.TEMPLATES:
+        words = notice.split()
+        texts += ["before " + notice.upper() + " after. " + notice, " ".join(words[len(words) // 2 :]), " ".join(w for w in words if r.random() < 0.8)]
+    texts += ["the of and " * 500, "SPDX-License-Identifier: MIT", "cc by nc 4.0 " * 300, "license " * 2000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    index = licenses.build_index(df.select(licenses.word_array(F.col("text")).alias("w")))
+    for row in licenses.scan(df).collect():
+        words = [w.lower() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", row["text"].lower())]
+        want = []
+        for t in index:
+            for start in range(len(words)):
+                if tuple(words[start : start + len(t.key)]) == t.key:
+                    there = [0 <= start - t.at + k < len(words) and words[start - t.at + k] == w for k, w in t.rare]
+                    if t.base or sum(there) >= 0.5 * len(there):
+                        want.append((t.label, start, 1.0 if t.base else sum(there) / len(there)))
+        same([(p["label"], p["start"], p["share"]) for p in row["places"]], want)
+        assert row["labels"] == ",".join(sorted({w[0] for w in want})) and row["score"] == max([w[2] for w in want], default=0.0)
+        if row["doc_id"] % 3 == 0 and row["doc_id"] < 3 * len(licenses.TEMPLATES):
+            assert licenses.TEMPLATES[row["doc_id"] // 3][0] in row["labels"]
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -171,6 +210,32 @@ def test_substring(docs, span, gram, batches):
     same(substring.dedup(docs, span=span, gram=gram, batches=batches).collect(), brute_dedup(ROWS, span))
 
 
+def test_substring_increments(spark, docs, tmp_path):
+    """Batches as they come, the index saved and opened between them, runs compacted."""
+    from statloom.llm.packed import SCHEMA as PACKED
+
+    index, got = substring.FingerprintIndex(8, 6, 3, max_runs=2), []
+    bounds = [None, 30, 60, 61, 120, 400, None]
+    for step, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        part = docs.filter(" and ".join([f"doc_id > {low}"] * (low is not None) + [f"doc_id <= {high}"] * (high is not None)))
+        got += substring.dedup_increment(index, part).collect()
+        assert len(index.runs) <= 2
+        if step == 3:
+            index.save(f"file://{tmp_path}/index")
+            index = substring.FingerprintIndex.open(spark, f"file://{tmp_path}/index")
+            assert index.runs[0].schema == PACKED and index.span == 6
+    same(got, [r for r in brute_dedup(ROWS, 6) if r[0] is not None])
+
+
+def test_merge_of_runs():
+    """Windows that share a hash and differ in the check stay apart."""
+    a = (np.array([1, 5, 5, 9], np.uint64), np.array([0, 1, 3, 0], np.uint32), np.array([4, 4, 4, 4]))
+    b = (np.array([1, 5, 5, 7], np.uint64), np.array([1, 3, 4, 0], np.uint32), np.array([2, 2, 2, 2]))
+    h, check, least = substring._merge(a, b)
+    assert sorted(zip(h.tolist(), check.tolist(), least.tolist(), strict=True)) == [(1, 0, 4), (1, 1, 2), (5, 1, 4), (5, 3, 2), (5, 4, 2), (7, 0, 2), (9, 0, 4)]
+    assert h.tolist() == sorted(h.tolist())
+
+
 def test_substring_empty(none):
     assert substring.dedup(none).count() == 0
 
