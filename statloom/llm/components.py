@@ -28,7 +28,8 @@ def told(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "in
     and more than total / HUBS, of which there are fewer than HUBS, are sent to all tasks
     and their rows stay where they are; other rows are dealt out by the key. With ``how``
     left, rows without a key in the table stay."""
-    many = F.col("n") > max(HUB, -(-total // HUBS))
+    # a power of two, so that rounds of a loop share their compiled code
+    many = F.col("n") > max(HUB, 1 << (max(total, 1) // HUBS).bit_length())
     new = [c for c in table.columns if c not in (key, "n")]
     hubs = table.filter(many).select(F.col(key).alias("__h"), F.struct(*new).alias("__m"))
     marked = rows.join(F.broadcast(hubs), F.col(key) == F.col("__h"), "left")
