@@ -18,11 +18,9 @@ an empty one, and an empty text has no ids and decodes to an empty text.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from dataclasses import dataclass
-from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -38,6 +36,10 @@ CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
 #: Answers about pairs of tokens that a worker keeps.
 CACHE_PAIRS = 1_500_000
 NEVER = float("-inf")
+#: The table's entry of the empty prefix. Every token fits there, and none after a prefix
+#: without an entry.
+_START = -2
+_ENDS = {_START: True, -1: False}
 
 
 @dataclass(frozen=True)
@@ -87,13 +89,16 @@ class PrefixTable:
         self.ordered: list[bool] = []
         self.left: list[tuple[list[str], list[float]]] = []
         self.right: list[tuple[list[str], list[float]]] = []
+        #: Of each token: which tokens fit before it, as far as asked.
+        self.pairs: list[dict[int, bool]] = []
         self.automaton = ahocorasick.Automaton()
         for text in sorted({*self.id_of, *self.letters}):
             parts, merges = self._merge(text)
             if len(parts) != 1:
                 continue  # no text ever encodes to this piece
             times = [s for s, _, _ in merges]
-            self.automaton.add_word(text, (len(text), len(self.tokens)))
+            self.pairs.append(dict(_ENDS))
+            self.automaton.add_word(text, (len(text), len(self.tokens), self.pairs[-1]))
             self.tokens.append(text)
             self.size.append(len(text))
             self.ids.append([self.id_of[text]] if text in self.id_of else self._bytes(text))
@@ -103,10 +108,9 @@ class PrefixTable:
                 side.append(([end, *(p for _, p in own)], [*(s for s, _ in own), NEVER]))
         self.automaton.make_automaton()
         self.spoken = [p.replace(MARK, " ") if n else "" for p, n in zip(vocabulary.pieces, vocabulary.normal, strict=True)]
-        self.id_text = [str(k) for k in range(len(vocabulary.pieces))]
-        #: One id for each token, or -1 where a letter has no piece.
-        self.one_id = [i[0] if t in self.id_of else -1 for t, i in zip(self.tokens, self.ids, strict=True)]
-        self.pairs: list[dict[int, bool]] = [{} for _ in self.tokens]
+        #: Each token's id as text, empty where a letter has no piece.
+        self.token_text = [str(i[0]) if t in self.id_of else "" for t, i in zip(self.tokens, self.ids, strict=True)]
+        self.known = re.compile(f"[{''.join(map(re.escape, sorted(self.letters)))}]+")
         self.pair_count = 0
         self.words: dict[str, tuple[str, str]] = {}
 
@@ -149,27 +153,25 @@ class PrefixTable:
 
     def _tokens(self, text: str) -> list[int]:
         """Tokens of a text whose characters all occur in pieces."""
-        last, pairs, size = [-1] * (len(text) + 1), self.pairs, self.size
-        for end, (length, token) in self.automaton.iter(text):
+        last = [-1] * (len(text) + 1)
+        last[0] = _START
+        for end, (length, token, fits) in self.automaton.iter(text, 0):
             end += 1
             if last[end] >= 0:
                 continue
-            start = end - length
-            if start:
-                before = last[start]
-                if before < 0:
-                    continue
-                fits = pairs[token].get(before)
-                if fits is None:
-                    self.pair_count += 1
-                    if self.pair_count > CACHE_PAIRS:
-                        self.pairs = pairs = [{} for _ in self.tokens]
-                        self.pair_count = 1
-                    fits = pairs[token][before] = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end] = token
-        out, at = [], len(text)
+            before = last[end - length]
+            fit = fits.get(before)
+            if fit is None:
+                self.pair_count += 1
+                if self.pair_count > CACHE_PAIRS:
+                    for kept in self.pairs:
+                        kept.clear()
+                        kept.update(_ENDS)
+                    self.pair_count = 1
+                fit = fits[before] = self.compatible(before, token)
+            if fit:
+                last[end] = token
+        out, at, size = [], len(text), self.size
         while at:
             token = last[at]
             out.append(token)
@@ -181,13 +183,15 @@ class PrefixTable:
         return [self.v.byte_ids[b] for b in text.encode("utf-8", "replace")]
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        if self.letters.issuperset(chunk):
-            return [k for token in self._tokens(chunk) for k in self.ids[token]]
         ids: list[int] = []
-        for known, run in groupby(chunk, self.letters.__contains__):
-            text = "".join(run)
-            ids += [k for token in self._tokens(text) for k in self.ids[token]] if known else self._bytes(text)
-        return ids
+        at = 0
+        for run in self.known.finditer(chunk):
+            if run.start() > at:
+                ids += self._bytes(chunk[at : run.start()])
+            for token in self._tokens(run[0]):
+                ids += self.ids[token]
+            at = run.end()
+        return ids + self._bytes(chunk[at:]) if at < len(chunk) else ids
 
     def decode_chunk(self, ids: list[int]) -> str:
         normal, spoken = self.v.normal, self.spoken
@@ -208,15 +212,12 @@ class PrefixTable:
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text) of one chunk."""
-        ids = None
         if self.letters.issuperset(chunk):
-            one = self.one_id
-            ids = [one[t] for t in self._tokens(chunk)]
-        if ids is None or -1 in ids:
-            ids = self.encode_chunk(chunk)
-            return ",".join(map(str, ids)), self.decode_chunk(ids)
-        spell, speak = self.id_text, self.spoken
-        return ",".join([spell[k] for k in ids]), "".join([speak[k] for k in ids])
+            spelled = [self.token_text[t] for t in self._tokens(chunk)]
+            if "" not in spelled:  # pieces only, and pieces joined are the text
+                return ",".join(spelled), chunk.replace(MARK, " ")
+        ids = self.encode_chunk(chunk)
+        return ",".join(map(str, ids)), self.decode_chunk(ids)
 
     def _word(self, word: str) -> tuple[str, str]:
         """A word after one blank, which becomes part of the cache."""
@@ -289,11 +290,7 @@ def encode_digests(docs: DataFrame, model_path: str, text_col: str = "text") ->
 
     def make(column: pa.Array) -> list:
         table = _table(share.value)
-        gc.disable()  # nothing here makes cycles; the search walks all of a cache of 10^5 entries
-        try:
-            rows = [table.digest(t) for t in _texts(column)]
-        finally:
-            gc.enable()
+        rows = [table.digest(t) for t in _texts(column)]
         return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
