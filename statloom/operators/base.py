@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
-from statloom.plans.formula import Design, InvalidInput, design
+from statloom.plans.formula import Design, InvalidInput
 from statloom.plans.gram import cross, quadratic, sums
 from statloom.plans.order import with_lags
 
@@ -133,17 +133,8 @@ class Model(Coefficients):
 
     def score_design(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
         """``df`` with predictor columns for scoring, by the training levels."""
-        d = self.design
-        if d.formula is None:
-            rows = df.withColumns({f"__x{k}": F.col(f"`{n}`").cast("double") for k, n in enumerate(d.names)})
-        else:
-            rows = df
-            expr = design(df, d.formula, levels=d.levels, response=False)
-            # the projection's columns, computed beside the frame's own
-            packed = design(df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns])), d.formula, extra={"__row": "__row"}, levels=d.levels, response=False).df
-            rows = packed.select("__row.*", *[F.col(f"x{k}").alias(f"__x{k}") for k in range(len(expr.names))], *([F.col("offset").alias("__offset")] if d.has_offset else []))
-        x = [F.col(f"__x{k}") for k in range(len(d.names))]
-        return rows, [F.lit(1.0), *x] if d.intercept else x
+        rows, x = self.design.rows(df)
+        return rows, [F.lit(1.0), *x] if self.design.intercept else x
 
     def predict(self, df: DataFrame, name: str = "prediction", linear: bool = False) -> DataFrame:
         """``df`` with the fitted mean (or linear predictor) of each row."""

@@ -322,22 +322,30 @@ class ClassModel:
     cuts: np.ndarray | None = None
     cut_se: np.ndarray | None = None
 
-    def probabilities(self) -> list[Column]:
-        """Of each class, for the rows of the design."""
+    def probabilities(self, x: list[Column] | None = None) -> list[Column]:
+        """Of each class, for the rows of the design, or for predictors ``x``."""
+        own = x or [F.col(f"x{k}") for k in range(len(self.design.names))]
+        line = lambda beta, of: sum((F.lit(float(b)) * c for b, c in zip(beta, of, strict=True)), F.lit(0.0))
         if self.cuts is None:
-            etas = [F.lit(0.0), *[self.design.linear(b) for b in self.coef]]
+            etas = [F.lit(0.0), *[line(b, [F.lit(1.0), *own] if self.design.intercept else own) for b in self.coef]]
             top = F.greatest(*etas)
             parts = [F.exp(e - top) for e in etas]
             total = sum(parts[1:], parts[0])
             return [p / total for p in parts]
-        eta = F.lit(0.0)
-        for b, k in zip(self.coef, range(len(self.names)), strict=True):
-            eta = eta + F.lit(float(b)) * F.col(f"x{k}")
+        eta = line(self.coef, own)
         below = [F.lit(0.0), *[inverse_link("logit", F.lit(float(c)) - eta) for c in self.cuts], F.lit(1.0)]
         return [b - a for a, b in zip(below, below[1:], strict=False)]
 
-    def predict_proba(self) -> DataFrame:
-        return self.design.df.withColumn("probabilities", F.array(*self.probabilities()))
+    def predict_proba(self, df: DataFrame | None = None) -> DataFrame:
+        """Rows with ``probabilities`` by rising class, and the likeliest class: of the
+        design, or of any frame that holds the formula's predictors."""
+        if df is None:
+            rows, x = self.design.df, None
+        else:
+            rows, x = self.design.rows(df)
+        rows = rows.withColumn("probabilities", F.array(*self.probabilities(x)))
+        best = F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
+        return rows.withColumn("predicted_class", best).drop(*[f"__x{k}" for k in range(len(self.design.names))])
 
 
 def multinomial(df: DataFrame, formula, max_iter: int = 200, tol: float = 1e-8) -> ClassModel:

@@ -230,7 +230,7 @@ def quantile(df: DataFrame, formula, q: float = 0.5, max_iter: int = 1000, tol:
         gram, (n, loss) = cross(d.df, x, extra=[F.lit(1), e * F.when(e >= 0, q).otherwise(q - 1)])
         center = float(d.df.agg(F.percentile("y", q)).first()[0])
         base = sums(d.df, [(y - center) * F.when(y >= center, q).otherwise(q - 1)])[0]
-        h = min(max(n ** (-1 / 3) * max(math.sqrt(q * (1 - q)), 0.05), 0.02), 0.20)
+        h = float(min(max(n ** (-1 / 3) * max(math.sqrt(q * (1 - q)), 0.05), 0.02), 0.20))
         low, high = d.df.agg(F.percentile(e, [max(q - h, 0.001), min(q + h, 0.999)])).first()[0]
         sparsity = max((high - low) / (min(q + h, 0.999) - max(q - h, 0.001)), 1e-12)
         _, inverse = solve_spd(gram, np.zeros(len(x)))
@@ -396,24 +396,25 @@ def gam(df: DataFrame, y: str, splines: list[Spline], linear: tuple[str, ...] =
     """Gaussian additive model on truncated powers: x..x^d and (x - k)+^d of each term.
     ``penalty`` is a ridge weight on the knot columns, or "gcv" to choose it on a grid;
     the grid needs only the Gram matrix, so the data are read once."""
-    columns, names, knotty = [F.col(y).cast("double").alias("y")], [], []
+    made, names, knotty = [], [], []
     for s in splines:
         if not 1 <= s.degree <= 5:
             raise InvalidInput("degrees run from 1 to 5")
         x = F.col(s.column).cast("double")
         for p in range(1, s.degree + 1):
-            columns.append(F.pow(x, F.lit(float(p))).alias(f"x{len(names)}"))
+            made.append(F.pow(x, F.lit(float(p))))
             names.append(f"{s.column}^{p}")
             knotty.append(False)
         for knot in s.knots:
-            columns.append(F.pow(F.greatest(x - knot, F.lit(0.0)), F.lit(float(s.degree))).alias(f"x{len(names)}"))
+            made.append(F.pow(F.greatest(x - knot, F.lit(0.0)), F.lit(float(s.degree))))
             names.append(f"({s.column}-{knot:g})+^{s.degree}")
             knotty.append(True)
     for c in linear:
-        columns.append(F.col(c).cast("double").alias(f"x{len(names)}"))
+        made.append(F.col(c).cast("double"))
         names.append(c)
         knotty.append(False)
-    d = Design(df.select(*columns), names)
+    columns = [F.col(y).cast("double").alias("y"), *[c.alias(f"x{k}") for k, c in enumerate(made)]]
+    d = Design(df.select(*columns), names, made=tuple(made))
     if penalty is None:
         return fit_ols(d)
     g, tail = cross(d.df, [*d.x(), F.col("y")], extra=[F.lit(1)])

@@ -120,6 +120,22 @@ class Design:
     formula: Formula | None = None
     levels: dict[str, list] = field(default_factory=dict)
     has_offset: bool = False
+    #: Predictors as expressions of a raw frame, for designs without a formula whose names
+    #: are no columns.
+    made: tuple[Column, ...] = ()
+
+    def rows(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """``df`` with predictor columns for scoring, by the training levels; and those
+        columns, the constant not among them."""
+        if self.formula is None:
+            own = self.made or tuple(F.col(f"`{n}`").cast("double") for n in self.names)
+            out = df.withColumns({f"__x{k}": c for k, c in enumerate(own)})
+        else:
+            # the projection's columns, computed beside the frame's own
+            packed = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+            packed = design(packed, self.formula, extra={"__row": "__row"}, levels=self.levels, response=False).df
+            out = packed.select("__row.*", *[F.col(f"x{k}").alias(f"__x{k}") for k in range(len(self.names))], *([F.col("offset").alias("__offset")] if self.has_offset else []))
+        return out, [F.col(f"__x{k}") for k in range(len(self.names))]
 
     @property
     def k(self) -> int:

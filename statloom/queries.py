@@ -1,7 +1,7 @@
 """One query for each operator family over the test tables, with SQL where SQL can say it.
 
-Figures are rounded to six decimals on both sides; iterative fits without a closed form
-have no SQL and are tested on fixtures instead.
+Figures are rounded on both sides; iterative fits without a closed form have no SQL, and
+tests hold them against numpy or their own estimating equations instead.
 """
 
 from __future__ import annotations
@@ -166,9 +166,13 @@ def rolling_ols(spark, sf):
     return r.select(F.col("ord").alias("i"), F.round("const", 5).alias("const"), F.round("u", 5).alias("slope"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT k, i, v, u, regr_slope(v, u) OVER n AS slope, regr_intercept(v, u) OVER n AS const, count(*) OVER p AS c, regr_slope(v, u) OVER p AS b, regr_intercept(v, u) OVER p AS a, avg(u) OVER p AS m, regr_sxx(v, u) OVER p AS s, count(*) OVER (PARTITION BY k) AS total FROM {E}
+WINDOW n AS (PARTITION BY k ORDER BY i), p AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, (v - a - b * u) / sqrt(1 + 1.0 / c + (u - m) * (u - m) / s) AS e FROM w WHERE c >= 2)
+SELECT k AS key, i AS ord, round(const, 3) + 0.0 AS const, round(slope, 3) + 0.0 AS u, round(e, 3) + 0.0 AS recursive_resid, round(sum(e) OVER (PARTITION BY k ORDER BY i) / stddev_samp(e) OVER (PARTITION BY k), 3) + 0.0 AS cusum, round(0.948 * sqrt(total - 2), 3) AS bound FROM r""")
 def recursive_ols(spark, sf):
-    return li.recursive_ols(events(spark, sf), "v", ["u"], "i", key="k")
+    t = li.recursive_ols(events(spark, sf), "v", ["u"], "i", key="k").filter("recursive_resid is not null and not isnan(recursive_resid)")
+    return t.select("key", "ord", *[(F.round(c, 3) + 0.0).alias(c) for c in ("const", "u", "recursive_resid", "cusum", "bound")])
 
 
 @query()
@@ -434,10 +438,15 @@ def anova_one_way(spark, sf):
     return row(spark, f=hy.anova(lines(spark, sf), "price", "rf").f)
 
 
-@query()
+@query(f"""WITH d AS (SELECT price y, rf, ls, CASE WHEN ls = 'O' THEN 1.0 ELSE 0.0 END AS o FROM {L}),
+m AS (SELECT y - avg(y) OVER (PARTITION BY rf) AS ya, o - avg(o) OVER (PARTITION BY rf) AS oa, y - avg(y) OVER (PARTITION BY ls) AS yb, y - avg(y) OVER (PARTITION BY rf, ls) AS yc FROM d),
+s AS (SELECT sum(ya * ya) AS ra, sum(yb * yb) AS rb, sum(ya * ya) - sum(ya * oa) * sum(ya * oa) / sum(oa * oa) AS rab, sum(yc * yc) AS cells, count(*) AS n FROM m),
+c AS (SELECT count(*) AS k, count(DISTINCT rf) AS a, count(DISTINCT ls) AS b FROM (SELECT DISTINCT rf, ls FROM d))
+SELECT 'rf' AS term, round(rb - rab, 3) AS ss, CAST(a - 1 AS INTEGER) AS df FROM s, c UNION ALL SELECT 'ls', round(ra - rab, 3), CAST(b - 1 AS INTEGER) FROM s, c
+UNION ALL SELECT 'rf:ls', round(rab - cells, 3), CAST((a - 1) * (b - 1) AS INTEGER) FROM s, c UNION ALL SELECT 'residual', round(cells, 3), CAST(n - k AS INTEGER) FROM s, c""")
 def anova_two_way(spark, sf):
     t = hy.anova_two_way(lines(spark, sf), "price", "rf", "ls", 2)
-    return spark.createDataFrame([(k, float(v[0]), int(v[1])) for k, v in t.items()], "term string, ss double, df int")
+    return spark.createDataFrame([(k, round(float(v[0]), 3), int(v[1])) for k, v in t.items()], "term string, ss double, df int")
 
 
 @query()
@@ -462,6 +471,16 @@ def adjust_fdr(spark, sf):
     return hy.adjust_p(_p_values(spark, sf), "p", "bh").select("supp", F.round("p_adjusted", 6).alias("adjusted"))
 
 
+@query(f"WITH p AS ({_P}), r AS (SELECT *, count(*) OVER () n, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) i FROM p), h AS (SELECT sum(1.0 / k) AS h FROM (SELECT unnest(range(1, (SELECT max(n) + 1 FROM r))) AS k)) SELECT supp, round(least(min(p * n * h / i) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS adjusted FROM r, h")
+def adjust_by(spark, sf):
+    return hy.adjust_p(_p_values(spark, sf), "p", "by").select("supp", F.round("p_adjusted", 6).alias("adjusted"))
+
+
+@query(f"SELECT supp, round(least(p * count(*) OVER (), 1), 6) AS adjusted FROM ({_P})")
+def adjust_bonferroni(spark, sf):
+    return hy.adjust_p(_p_values(spark, sf), "p", "bonferroni").select("supp", F.round("p_adjusted", 6).alias("adjusted"))
+
+
 @query(f"WITH o AS (SELECT rf, count(*) o FROM {L} GROUP BY rf) SELECT round(sum(power(o - t / k, 2) / (t / k)), 6) AS statistic FROM o, (SELECT sum(o) t, count(*) k FROM o)")
 def chi2_goodness(spark, sf):
     return row(spark, statistic=hy.chi2_goodness(lines(spark, sf), "rf").statistic)
@@ -626,6 +645,79 @@ def kalman_local_level(spark, sf):
     return st.kalman_by_key(_daily(spark, sf), "o_orderpriority", "m", "v", st.local_level(1.0, 0.1), smooth=True)
 
 
+# ---------------------------------------------------------------- after the fit
+
+_LINE = f"WITH f AS (SELECT *, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM (SELECT regr_slope(price, qty) b, regr_intercept(price, qty) a, avg(qty) mx, regr_sxx(price, qty) sxx, regr_sxy(price, qty) sxy, regr_syy(price, qty) syy, count(*) n FROM {L}))"
+_Z = 1.959963984540054
+
+
+@query(f"{_LINE} SELECT pos, round(a + b * qty, 5) AS prediction, round(a + b * qty - {_Z} * sqrt(s2 * (1.0 / n + (qty - mx) * (qty - mx) / sxx)), 5) AS lower, round(a + b * qty + {_Z} * sqrt(s2 * (1.0 / n + (qty - mx) * (qty - mx) / sxx)), 5) AS upper FROM {L}, f")
+def prediction_interval(spark, sf):
+    d = lines(spark, sf)
+    t = li.ols(d, "price ~ qty").predict_interval(d)
+    return t.select("pos", *[F.round(c, 5).alias(c) for c in ("prediction", "lower", "upper")])
+
+
+@query(f"{_LINE} SELECT round(b * b * sxx / s2, 2) AS statistic, round((b - 1.5) * (b - 1.5) * sxx / s2, 2) AS against_value FROM f")
+def wald_test(spark, sf):
+    m = li.ols(lines(spark, sf), "price ~ qty")
+    return row(spark, statistic=round(m.wald_test([[0, 1]]).statistic, 2), against_value=round(m.wald_test([[0, 1]], [1.5]).statistic, 2))
+
+
+@query(f"{_PAIR}, s AS (SELECT ln(b.p / (1 - b.p)) - ln(a.p / (1 - a.p)) AS c, sqrt(1 / (a.n * a.p * (1 - a.p)) + 1 / (b.n * b.p * (1 - b.p))) AS se FROM a, b) SELECT round(exp(c), 6) AS ratio, round(exp(c - {_Z} * se), 6) AS lower, round(exp(c + {_Z} * se), 6) AS upper FROM s")
+def odds_ratios(spark, sf):
+    m = gl.logistic(lines(spark, sf), "returned ~ many")
+    low, high = m.confidence_intervals()[1]
+    return row(spark, ratio=gl.ratios(m)["many"], lower=np.exp(low), upper=np.exp(high))
+
+
+@query(f"{_PAIR}, t AS (SELECT sum(n * p) / sum(n) AS p, sum(n) AS n FROM g) SELECT round(2 * (sum(g.n * (g.p * ln(g.p) + (1 - g.p) * ln(1 - g.p))) - max(t.n * (t.p * ln(t.p) + (1 - t.p) * ln(1 - t.p)))), 4) AS statistic FROM g, t")
+def likelihood_ratio(spark, sf):
+    return row(spark, statistic=round(gl.likelihood_ratio(gl.logistic(lines(spark, sf), "returned ~ many"))[0], 4))
+
+
+@query(f"""WITH m AS (SELECT many, line AS y, avg(line) OVER (PARTITION BY many) AS mu FROM {L})
+SELECT many, round(max(mu), 6) AS fitted, round(sum((y - mu) * (y - mu) / mu), 3) AS pearson, round(sum(2 * (y * ln(y / mu) - (y - mu))), 3) AS deviance FROM m GROUP BY many""")
+def glm_residuals(spark, sf):
+    t = gl.glm_rows(gl.poisson(lines(spark, sf), "line ~ many")).groupBy(F.col("x0").alias("many"))
+    return t.agg(F.round(F.max("fitted"), 6).alias("fitted"), F.round(F.sum(F.col("resid_pearson") ** 2), 3).alias("pearson"), F.round(F.sum(F.col("resid_deviance") ** 2), 3).alias("deviance"))
+
+
+@query(f"""WITH p AS (SELECT returned AS y, qty / 51 AS p, CASE WHEN qty / 51 >= 0.5 THEN 1 ELSE 0 END AS h FROM {L}), c AS (SELECT sum(h * y) tp, sum(h * (1 - y)) fp, sum((1 - h) * (1 - y)) tn, sum((1 - h) * y) fn, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS l, avg((y - p) * (y - p)) AS b FROM p)
+SELECT round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(l, 6) AS log_loss, round(b, 6) AS brier FROM c""")
+def classification_metrics(spark, sf):
+    return row(spark, **ds.classification_metrics(lines(spark, sf).withColumn("p", F.col("qty") / 51), "returned", "p"))
+
+
+@query(f"""WITH t AS (SELECT qty, sum(returned) d, count(*) n FROM {L} GROUP BY qty), r AS (SELECT qty, d, sum(n) OVER (ORDER BY qty DESC) AS n FROM t), s AS (SELECT qty, exp(sum(ln(1 - d / n)) OVER (ORDER BY qty)) AS s FROM r WHERE d < n)
+SELECT l.line, round(max_by(s.s, s.qty), 6) AS survival FROM (SELECT DISTINCT line FROM {L}) l JOIN s ON s.qty <= l.line GROUP BY l.line""")
+def survival_lookup(spark, sf):
+    d = lines(spark, sf)
+    return su.survival_lookup(su.kaplan_meier(d, "qty", "returned"), d.select("line").distinct(), "line").select("line", F.round("survival", 6).alias("survival"))
+
+
+@query(f"WITH g AS (SELECT many, rf, count(*) c, sum(count(*)) OVER (PARTITION BY many) n FROM {L} GROUP BY many, rf), b AS (SELECT many, arg_max(rf, c) AS best FROM g GROUP BY many) SELECT pos, best FROM {L} JOIN b USING (many)")
+def multinomial_predict(spark, sf):
+    d = lines(spark, sf)
+    coded = d.withColumn("code", F.when(F.col("rf") == "A", 0).when(F.col("rf") == "N", 1).otherwise(2))
+    t = gl.multinomial(coded, "code ~ many").predict_proba(d)
+    return t.select("pos", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("predicted_class").cast("int") + 1).alias("best"))
+
+
+@query(f"""WITH c AS (SELECT i, v - avg(v) OVER () AS e FROM {E}), s AS (SELECT e, sum(e) OVER (ORDER BY i) AS t, lag(e, 1) OVER (ORDER BY i) AS e1, lag(e, 2) OVER (ORDER BY i) AS e2, lag(e, 3) OVER (ORDER BY i) AS e3, lag(e, 4) OVER (ORDER BY i) AS e4 FROM c)
+SELECT round(sum(t * t) / count(*) / (sum(e * e) + 2 * (0.8 * sum(e * e1) + 0.6 * sum(e * e2) + 0.4 * sum(e * e3) + 0.2 * sum(e * e4))), 6) AS statistic FROM s""")
+def kpss_level(spark, sf):
+    return row(spark, statistic=ts.kpss(events(spark, sf), "v", "i", 4).statistic)
+
+
+@query(f"""WITH d AS (SELECT price - avg(price) OVER () AS a, qty - avg(qty) OVER () AS b, price - avg(price) OVER (PARTITION BY rf) AS wa, qty - avg(qty) OVER (PARTITION BY rf) AS wb FROM {L}),
+s AS (SELECT (sum(wa * wa) * sum(wb * wb) - sum(wa * wb) * sum(wa * wb)) / (sum(a * a) * sum(b * b) - sum(a * b) * sum(a * b)) AS w, count(*) AS n FROM d)
+SELECT round(w, 9) AS wilks, round((1 - sqrt(w)) / sqrt(w) * (2 * (n - 1 - 2.5) - 1) / 4, 4) AS f FROM s""")
+def manova_wilks(spark, sf):
+    m = pa.manova(lines(spark, sf), ["price", "qty"], "rf")
+    return spark.createDataFrame([(round(float(m.wilks), 9), round(float(m.f), 4))], "wilks double, f double")
+
+
 # ---------------------------------------------------------------- design
 
 
