@@ -32,10 +32,13 @@ BATCH_BYTES, GATHER_BYTES = 8 << 20, 16 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (local tests) is a local folder chosen and set.
+    Only where the setting is missing on a local master (tests) is a local folder chosen
+    and set; on a cluster the executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="statloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -60,6 +63,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has (Spark's names know no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

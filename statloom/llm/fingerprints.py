@@ -11,7 +11,9 @@ of longs is the wanted one. Positions count modulo 2**23 (8.4 million words).
 Defined results: fewer than ``k`` words make one hash of all words; a text without words
 has an empty fingerprint; two empty fingerprints are alike (1). A null text is an empty
 one. The next document goes by falling id, ties by text; null ids come last, and after
-the last comes the first. Repeated rows follow one another.
+the last comes the first. Repeated rows follow one another. An empty table gives none. Very
+long texts are fingerprinted whole. The query reads id and text only, whatever else a table
+holds.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ table look-up a gram and needs no per-document vector.
 
 Defined results: a null text, an empty one or one without a letter is ``und`` with score
 0. With no labelled row to learn from, everything is ``und``. A null id is never learnt
-from and never held out. Repeated rows are scored alike.
+from and never held out. Repeated rows are scored alike; of languages with equal scores the
+first by name wins; an empty table gives none. Very long texts are read whole. ``identify``
+replaces columns named like new ones; ``keep_identified`` leaves all columns, whatever their
+names, as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import CHUNK, held_out, learnable, spans, text_buffer, with_arrow_columns
+from statloom.llm.common import CHUNK, fresh, held_out, learnable, spans, text_buffer, with_arrow_columns
 
 BITS = 15
 DIM = 1 << BITS
@@ -205,6 +208,6 @@ def keep_identified(docs: DataFrame, threshold: float = 0.3) -> DataFrame:
     probability of ``threshold`` or more. Columns stay as they are."""
     model = fit(docs)
     names = docs.columns
-    marked = docs.select("*", F.col("text").alias("__text"))
-    scored = identify(marked, model, "__text", ("__lang", "__score"))
-    return scored.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= threshold)).select(*[f"`{c}`" for c in names])
+    lang, score = fresh(names, "__lang"), fresh(names, "__score")
+    scored = identify(docs, model, "text", (lang, score))
+    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= threshold)).select(*[f"`{c}`" for c in names])

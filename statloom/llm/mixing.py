@@ -24,7 +24,9 @@ square instead, less until half of it stays, and the warning is given.
 Defined results: a null or empty text has no tokens; without labelled rows there is one
 domain, "all", and every rate is 1. Labels that are null are passed over; repeated
 labels and rows each count; ties between domains go to the first by name. A label of no
-document teaches nothing.
+document teaches nothing. An empty table gives no row. Very long texts are read whole.
+``mix`` replaces columns named like new ones; ``thin`` leaves all columns, whatever their
+names, as they are.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ encoded one by one, and chunks that were met before come from a bounded cache.
 
 Supported: BPE models with byte fallback, identity normalisation, a dummy prefix and no
 removal of extra white space; others raise ValueError. Defined results: a null text is
-an empty one, and an empty text has no ids and decodes to an empty text.
+an empty one, and an empty text has no ids and decodes to an empty text; very long texts
+are encoded whole; repeated rows give repeated results; an empty table gives none. Columns
+named like new ones are replaced. Of merges with equal scores the leftmost comes first.
 """
 
 from __future__ import annotations

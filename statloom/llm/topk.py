@@ -25,7 +25,8 @@ Defined results: vectors that are null, empty or hold null or non-finite compone
 no part, on either side; nor do rows with a null id. Only vectors with as many
 components as the query are its candidates. Rows with the query's id are the query's own
 and no candidates; other repeated rows each count. A query whose row is repeated is
-answered once for each distinct vector. With fewer candidates than k, all are returned.
+answered once for each distinct vector. With fewer candidates than k, all are returned; an
+empty table gives none. Ties go to the smaller id. Other columns are not read.
 """
 
 from __future__ import annotations

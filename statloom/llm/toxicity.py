@@ -11,7 +11,9 @@ it), so that copies of one text don't make their words a lexicon.
 Defined results: a null text is scored as an empty one. Labels that are null, or that
 belong to a null id or to no document, teach nothing; contradicting labels of one id
 count as toxic. Without both classes to learn from, every score is the share of toxic
-rows (0 with no row). Repeated rows are scored alike.
+rows (0 with no row). Repeated rows are scored alike, and texts with equal features tie;
+an empty table gives none. Very long texts are scored whole. Columns other than id and text
+are not read by the query; ``score`` replaces one of its name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.llm import components, fingerprints, jaccard_join, language_id, licenses, mixing, secrets, sentencepiece_bpe, substring, topk, toxicity
+from statloom.llm import common, components, fingerprints, jaccard_join, language_id, licenses, mixing, secrets, sentencepiece_bpe, substring, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -491,11 +491,11 @@ def clashing(df, *names):
 
 def test_clashing_names(spark, docs):
     labels = spark.createDataFrame([(3, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
-    for stage, names in ((secrets.redact, ("spans", "live", "hash")), (lambda d: mixing.thin(d, labels), ("rate", "copies", "domain")), (jaccard_join.keep_one, ("th", "n", "component_id"))):
+    for stage, names in ((secrets.redact, ("spans", "live", "hash")), (lambda d: mixing.thin(d, labels), ("rate", "copies", "domain", "__row", "__text")), (jaccard_join.keep_one, ("th", "n", "component_id", "__th", "__ID")), (language_id.keep_identified, ("__lang", "__Score", "__text"))):
         out = stage(clashing(docs, *names))
         assert out.columns == [*docs.columns, *names] and out.filter(" or ".join(f"{n} <> 'x'" for n in names)).count() == 0 and out.count() > 5
-    for query in (licenses.licenses_query, sentencepiece_bpe.sentencepiece_query, substring.dedup, secrets.secrets_query, fingerprints.fingerprint_query, language_id.language_query):
-        odd = clashing(docs, "n_words", "labels", "spans", "fp", "th", "n_tokens", "lang_pred", "held_out")
+    for query in (licenses.licenses_query, sentencepiece_bpe.sentencepiece_query, substring.dedup, secrets.secrets_query, fingerprints.fingerprint_query, language_id.language_query, jaccard_join.jaccard_query, lambda d: mixing.mixing_query(d, labels), lambda d: toxicity.toxicity_query(d, labels.select("doc_id", "toxic"))):
+        odd = clashing(docs, "n_words", "spans", "fp", "th", "n_tokens", "lang_pred", "held_out", "values", "score", "domain", "bins", "id")
         assert query(odd).count() == len(ROWS)
 
 
@@ -517,3 +517,31 @@ def test_jaccard_pairs(docs, k, threshold, limit):
     same([(r["u"], r["v"]) for r in pairs.collect()], [(x, y) for x, y in ((least.get(a), least.get(b)) for a, b in near) if x is not None and y is not None and x < y])
     want = [(i, least.get(sets[(i, t)]), copies[sets[(i, t)]] - 1 + sum(copies[b] for a, b in near if a is sets[(i, t)] or a == sets[(i, t)])) for i, t, *_ in ROWS if sets[(i, t)]]
     same(rows.collect(), want)
+
+
+# ---------------------------------------------------------------- very long texts
+
+
+def test_long_texts(spark):
+    """Texts longer than a chunk, that hold repeats, a licence, a secret and near copies."""
+    r = random.Random(31)
+    words = [r.choice("abcdefgh") * r.randint(1, 4) + r.choice(["water", "stone", "house", "rivière"]) for _ in range(60_000)]
+    long = " ".join(words)
+    near = " ".join([*words[:30_000], "changed", *words[30_001:]])
+    tail = " ".join(words[-80:]) + " all rights reserved token=abcdefghij"
+    rows = [(1, long, "en", "a", len(long)), (2, near, "en", "b", len(near)), (3, long + " " + tail, "en", "a", 0), (4, tail, "en", "c", len(tail)), (5, "x" * 400_000, None, None, 400_000)]
+    assert len(long.encode()) > 2 * common.CHUNK
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    same(substring.dedup(df).collect(), brute_dedup(rows, 50))
+    same(jaccard_join.jaccard_query(df).collect(), brute_classes(rows, 4, 85) and [(i, n, c) for i, n, c in brute_classes(rows, 4, 85)])
+    found = {x["doc_id"]: x for x in licenses.licenses_query(df).collect()}
+    assert found[3]["first_word"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(long))) + 80 and found[1]["n_base"] == 0
+    spans = {x["doc_id"]: x["spans"] for x in secrets.secrets_query(df).collect()}
+    at = len(long + " " + tail) - len("token=abcdefghij")
+    assert spans[3] == f"assign:{at}:{at + 16}" and spans[5] == ""
+    near_ = {x["doc_id"]: x["near_next"] for x in fingerprints.fingerprint_query(df).collect()}
+    assert near_[2] > 0.99 and near_[5] < 0.01
+    assert language_id.language_query(df).count() == 5
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity_query(df, labels).filter("score between 0 and 1").count() == 5
+    assert mixing.mixing_query(df, labels).filter("n_tokens = 1").count() == 1

@@ -36,3 +36,11 @@ def test_run_and_entry(spark, folder):
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in every} and "pipeline" in every
     assert set(__spark_entry__.oracle_sql()) <= set(every)
     assert every["pipeline"](spark, folder).count() > 20
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
