@@ -115,8 +115,8 @@ def _sparse_counts(column: pa.Array) -> list:
         gram, edge = gram[order], np.searchsorted(who[order], np.arange(len(texts) + 1))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             u, n = np.unique(gram[a:b], return_counts=True)
-            index.append(u.tolist())
-            value.append((n / max(b - a, 1)).astype(np.float32).tolist())
+            index.append(u.astype(np.int32).tobytes())
+            value.append((n / max(b - a, 1)).astype(np.float32).tobytes())
     return [index, value]
 
 
@@ -132,14 +132,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     sample = able.select(F.col(lang_col).alias("y"), draw.alias("draw"), F.col(text_col).alias("t"))
     if total > sample_rows:
         sample = sample.filter(F.col("draw") < int((1 << 30) * sample_rows / total))
-    fields = [T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]
+    fields = [T.StructField("index", T.BinaryType()), T.StructField("value", T.BinaryType())]  # packed: the driver holds the sample
     rows = with_arrow_columns(sample, "t", fields, _sparse_counts).select("y", "draw", "index", "value").collect()
-    rows = sorted((r for r in rows if len(r["index"])), key=lambda r: (r.draw, r.y, tuple(r["index"][:8])))
+    rows = sorted((r for r in rows if len(r["index"])), key=lambda r: (r.draw, r.y, bytes(r["index"])))
     languages = sorted({r.y for r in rows})
     if not languages:
         return LanguageModel([], np.zeros((DIM, 0)), np.zeros(0), 1.0)
     code = {y: k for k, y in enumerate(languages)}
-    data = [(np.asarray(r["index"]), np.asarray(r["value"], np.float64), code[r.y]) for r in rows]
+    data = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), code[r.y]) for r in rows]
     check = data[::4] if len(data) >= 40 else data
     train = [d for k, d in enumerate(data) if k % 4] if len(data) >= 40 else data
 
