@@ -586,13 +586,41 @@ def autoregression(spark, sf):
     return row(spark, const=m.coef[0], ar1=m.coef[1])
 
 
-@query()
+def _swept(table: str, columns: list[str], centred: bool = True) -> str:
+    """SQL tables s0, s1, ...: each takes its first column's part out of y and of the
+    columns after it, so a later column stands free of all earlier ones."""
+    first = [f"{c} - avg({c}) OVER () AS {c}" if centred else c for c in ["y", *columns]]
+    steps = [f"s0 AS (SELECT {', '.join(first)} FROM {table})"]
+    for k, x in enumerate(columns):
+        rest = [f"{c} - {x} * (sum({x} * {c}) OVER () / sum({x} * {x}) OVER ()) AS {c}" for c in ["y", *columns[k + 1 :]]]
+        steps.append(f"s{k + 1} AS (SELECT {', '.join(rest)} FROM s{k})")
+    return ", ".join(steps)
+
+
+def _root_sql(table: str, lags: int, centred: bool) -> str:
+    """The t value of the level of ``v`` in a unit-root regression with ``lags`` differences."""
+    lagged = [f"d{k}" for k in range(1, lags + 1)]
+    shifted = ", ".join(f"lag(d, {k}) OVER (ORDER BY i) AS d{k}" for k in range(1, lags + 1))
+    return f"""SELECT sum(level * y) / sqrt(sum(level * level) * (sum(y * y) - sum(level * y) * sum(level * y) / sum(level * level)) / (count(*) - {lags + 1 + centred})) FROM (
+WITH d AS (SELECT i, v - lag(v) OVER (ORDER BY i) AS d, lag(v) OVER (ORDER BY i) AS level, row_number() OVER (ORDER BY i) AS r FROM {table}), w AS (SELECT r, d AS y, level, {shifted} FROM d),
+u AS (SELECT * FROM w WHERE r > {lags + 2}), {_swept("u", [*lagged, "level"], centred)} SELECT y, level FROM s{lags})"""
+
+
+_LONG_RUN = " + ".join(f"{2 * (1 - k / 5)} * sum(e * l{k})" for k in range(1, 5))
+_KPSS = f"""SELECT sum(s * s) / count(*) / (sum(e * e) + {_LONG_RUN}) FROM (SELECT *, sum(e) OVER (ORDER BY i) AS s, {", ".join(f"lag(e, {k}) OVER (ORDER BY i) AS l{k}" for k in range(1, 5))} FROM (SELECT i, v - avg(v) OVER () AS e FROM {E}))"""
+_COINT = f"(SELECT i, v - a - b * u AS v FROM {E}, (SELECT regr_slope(v, u) AS b, regr_intercept(v, u) AS a FROM {E}))"
+
+
+@query(f"SELECT round(({_root_sql(E, 2, True)}), 6) AS adf, round(({_KPSS}), 6) AS kpss, round(({_root_sql(_COINT, 1, False)}), 6) AS engle_granger")
 def unit_roots(spark, sf):
     e = events(spark, sf)
     return row(spark, adf=ts.adf(e, "v", "i", 2).statistic, kpss=ts.kpss(e, "v", "i", 4).statistic, engle_granger=ts.engle_granger(e, "v", "u", "i").statistic)
 
 
-@query()
+@query(f"""WITH w AS (SELECT i, v AS y, lag(v, 1) OVER o AS a1, lag(v, 2) OVER o AS a2, lag(u, 1) OVER o AS b1, lag(u, 2) OVER o AS b2 FROM {E} WINDOW o AS (ORDER BY i)),
+u AS (SELECT * FROM w WHERE b2 IS NOT NULL AND a2 IS NOT NULL), {_swept("u", ["a1", "a2", "b1", "b2"])},
+f AS (SELECT ((SELECT sum(y * y) FROM s2) / (SELECT sum(y * y) FROM s4) - 1) * (n - 5) / 2 AS f, n - 5 AS dof FROM (SELECT count(*) AS n FROM u))
+SELECT round(f, 6) AS f, round(power(1 + 2 * f / dof, -dof / 2.0), 6) AS p FROM f""")
 def granger(spark, sf):
     f, p = ts.granger(events(spark, sf), "v", "u", "i", 2)
     return row(spark, f=f, p=p)
