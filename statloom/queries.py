@@ -61,6 +61,17 @@ L = "(SELECT l_extendedprice / 1000 AS price, l_quantity AS qty, l_discount AS d
 E = "(SELECT event_id AS i, value AS v, user_id AS u, event_type AS k FROM events)"
 
 
+def _swept(table: str, columns: list[str], centred: bool = True) -> str:
+    """SQL tables s0, s1, ...: each takes its first column's part out of y and of the
+    columns after it, so a later column stands free of all earlier ones."""
+    first = [f"{c} - avg({c}) OVER () AS {c}" if centred else c for c in ["y", *columns]]
+    steps = [f"s0 AS (SELECT {', '.join(first)} FROM {table})"]
+    for k, x in enumerate(columns):
+        rest = [f"{c} - {x} * (sum({x} * {c}) OVER () / sum({x} * {x}) OVER ()) AS {c}" for c in ["y", *columns[k + 1 :]]]
+        steps.append(f"s{k + 1} AS (SELECT {', '.join(rest)} FROM s{k})")
+    return ", ".join(steps)
+
+
 def settled(table: DataFrame, converged: bool) -> DataFrame:
     """Figures of an iterative fit, with whether it settled."""
     return table.withColumn("converged", F.lit(bool(converged)))
@@ -291,7 +302,19 @@ def panel_two_way(spark, sf):
     return settled(m.coef_table(spark), m.converged)
 
 
-@query()
+#: Swamy-Arora by closed forms; ``plain`` is the within variance with the absorbed means uncounted.
+_RE = f"""WITH l AS (SELECT supp, price, qty, avg(price) OVER w AS pm, avg(qty) OVER w AS qm, count(*) OVER w AS m FROM {L} WINDOW w AS (PARTITION BY supp)),
+h AS (SELECT regr_sxy(price - pm, qty - qm) / regr_sxx(price - pm, qty - qm) AS fe, regr_sxx(price - pm, qty - qm) AS sxx, regr_syy(price - pm, qty - qm) AS syy, count(*) AS n, count(DISTINCT supp) AS g FROM l),
+b AS (SELECT regr_syy(p, q) - power(regr_sxy(p, q), 2) / regr_sxx(p, q) AS ssr, avg(1.0 / m) AS inverse FROM (SELECT avg(price) AS p, avg(qty) AS q, count(*) AS m FROM {L} GROUP BY supp)),
+v AS (SELECT fe, sxx, n, (syy - fe * fe * sxx) / (n - 1 - g) AS se, (syy - fe * fe * sxx) / (n - 1) AS plain, greatest(ssr / (g - 2) - (syy - fe * fe * sxx) / (n - 1 - g) * inverse, 0) AS su FROM h, b),
+t AS (SELECT *, 1 - sqrt(se / (m * su + se)) AS theta FROM l, v), r AS (SELECT *, 1 - theta AS c, qty - theta * qm AS q, price - theta * pm AS p FROM t),
+s AS (SELECT sum(c * c) AS cc, sum(c * q) AS cq, sum(q * q) AS qq, sum(c * p) AS cp, sum(q * p) AS qp, sum(p * p) AS pp, any_value(fe) AS fe, any_value(sxx) AS sxx, any_value(se) AS se, any_value(plain) AS plain, any_value(su) AS su, count(*) AS n FROM r),
+o AS (SELECT *, (cp * qq - qp * cq) / (cc * qq - cq * cq) AS a, (qp * cc - cp * cq) / (cc * qq - cq * cq) AS b FROM s)
+"""
+_RE_VARIANCE = "(pp - a * cp - b * qp) / (n - 2) * cc / (cc * qq - cq * cq)"
+
+
+@query(f"{_RE} SELECT round(a, 6) AS const, round(b, 6) AS qty, round(se, 6) AS sigma2_e, round(su, 6) AS sigma2_u, round(greatest(power(fe - b, 2) / (plain / sxx - {_RE_VARIANCE} + 1e-14), 0), 6) AS hausman FROM o")
 def panel_random_effects(spark, sf):
     d = lines(spark, sf)
     re, fe = pa.random_effects(d, "price ~ qty", "supp"), pa.fixed_effects(d, "price ~ qty", entity="supp")
@@ -299,6 +322,13 @@ def panel_random_effects(spark, sf):
     return row(spark, const=re.coef[0], qty=re.coef[1], sigma2_e=re.sigma2_e, sigma2_u=re.sigma2_u, hausman=h.statistic)
 
 
+@query(f"{_RE} SELECT round(greatest(power(fe - b, 2) / (se / sxx - {_RE_VARIANCE} + 1e-14), 0), 6) AS statistic, CAST(1 AS BIGINT) AS df FROM o")
+def hausman_within_df(spark, sf):
+    d = lines(spark, sf)
+    h = pa.hausman(pa.fixed_effects(d, "price ~ qty", entity="supp", within_df=True), pa.random_effects(d, "price ~ qty", "supp"))
+    return row(spark, statistic=h.statistic, df=h.df)
+
+
 @query()
 def mixed_model(spark, sf):
     m = pa.mixed(lines(spark, sf), "price ~ qty", "supp")
@@ -404,7 +434,12 @@ def breusch_pagan(spark, sf):
     return row(spark, statistic=round(ds.breusch_pagan(li.ols(lines(spark, sf), "price ~ qty"))[0], 5))
 
 
-@query()
+@query(f"""WITH l AS (SELECT price AS y, qty, disc FROM {L}), {_swept("l", ["qty", "disc"])},
+d AS (SELECT price, qty - avg(qty) OVER () AS q, disc - avg(disc) OVER () AS x FROM {L}), c AS (SELECT (sum(q * price) * sum(x * x) - sum(x * price) * sum(q * x)) / (sum(q * q) * sum(x * x) - sum(q * x) * sum(q * x)) AS b, (sum(x * price) * sum(q * q) - sum(q * price) * sum(q * x)) / (sum(q * q) * sum(x * x) - sum(q * x) * sum(q * x)) AS g, avg(price) AS m FROM d),
+f AS (SELECT price, q, x, m + b * q + g * x AS fit FROM d, c), z AS (SELECT price AS y, q, x, (fit - avg(fit) OVER ()) / stddev_pop(fit) OVER () AS z FROM f), z3 AS (SELECT y, q, x, z * z AS p2, z * z * z AS p3 FROM z),
+wide AS (WITH {_swept("z3", ["q", "x", "p2", "p3"])} SELECT sum(y * y) AS ssr, count(*) AS n FROM s4),
+e AS (SELECT power(price - fit, 2) AS y, q, x, q * q AS qq, q * x AS qx, x * x AS xx FROM f), white AS (WITH {_swept("e", ["q", "x", "qq", "qx", "xx"])} SELECT sum(y * y) AS ssr FROM s5)
+SELECT round((SELECT count(*) * (1 - any_value(white.ssr) / (var_pop(y) * count(*))) FROM e, white), 6) AS white, round((SELECT (sum(y * y) / any_value(wide.ssr) - 1) * (any_value(wide.n) - 5) / 2 FROM s2, wide), 6) AS reset""")
 def specification_tests(spark, sf):
     m = li.ols(lines(spark, sf), "price ~ qty + disc")
     return row(spark, white=ds.white_test(m)[0], reset=ds.reset_test(m)[0])
@@ -586,17 +621,6 @@ def autoregression(spark, sf):
     return row(spark, const=m.coef[0], ar1=m.coef[1])
 
 
-def _swept(table: str, columns: list[str], centred: bool = True) -> str:
-    """SQL tables s0, s1, ...: each takes its first column's part out of y and of the
-    columns after it, so a later column stands free of all earlier ones."""
-    first = [f"{c} - avg({c}) OVER () AS {c}" if centred else c for c in ["y", *columns]]
-    steps = [f"s0 AS (SELECT {', '.join(first)} FROM {table})"]
-    for k, x in enumerate(columns):
-        rest = [f"{c} - {x} * (sum({x} * {c}) OVER () / sum({x} * {x}) OVER ()) AS {c}" for c in ["y", *columns[k + 1 :]]]
-        steps.append(f"s{k + 1} AS (SELECT {', '.join(rest)} FROM s{k})")
-    return ", ".join(steps)
-
-
 def _root_sql(table: str, lags: int, centred: bool) -> str:
     """The t value of the level of ``v`` in a unit-root regression with ``lags`` differences."""
     lagged = [f"d{k}" for k in range(1, lags + 1)]
