@@ -2,8 +2,10 @@
 and long texts, repeated rows, exact and near copies, shared passages and secrets."""
 
 import hashlib
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -376,6 +378,40 @@ def test_jaccard(docs, k, threshold, limit):
     same(got, brute_classes(ROWS, k, threshold))
 
 
+def _written(spark):
+    root = pathlib.Path(common.shared_folder(spark).removeprefix("file://"))
+    return {x.name for x in root.glob("statloom/*/*")}
+
+
+def test_jaccard_frees_its_disk(spark, docs):
+    """Packed prefixes, sets and clusters go once they are used; ids and classes stay."""
+    before = _written(spark)
+    got = jaccard_join.join_classes(docs)
+    left = sorted(x.rsplit("-", 5)[0] for x in _written(spark) - before)
+    assert not {"sets", "able", "payload", "kept", "members", "clusters", "stars"} & set(left)
+    assert got.count() == docs.count()  # nothing of what went is read again
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    def shuffled():
+        folders = spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {x for d in folders for x in pathlib.Path(d.getPath()).glob("*/shuffle_*.data")}
+
+    before = shuffled()
+    made = common.materialize(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count(), "freed")
+    for _ in range(100):  # Spark's cleaner works beside the driver
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    # what is still wanted of a removed shuffle is computed again
+    kept = spark.range(1000).repartition(3, "id").cache()
+    common.materialize(kept, "again")
+    assert kept.count() == 1000 and kept.unpersist().count() == 1000 and made.count() == 7
+    common.discard(spark, made)
+    assert not any(x.startswith("freed-") for x in _written(spark))
+
+
 def test_keep_one(spark, docs, none):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
