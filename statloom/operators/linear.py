@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from statloom.functions import dist
 from statloom.operators.base import Cov, Model, sandwich
 from statloom.plans.formula import Design, InsufficientData, InvalidInput, design
-from statloom.plans.gram import cross, quadratic, solve_spd, sums
+from statloom.plans.gram import cross, percentiles, quadratic, solve_spd, sums
 from statloom.plans.order import numbered, with_lags
 
 
@@ -184,9 +184,13 @@ def robust(df: DataFrame, formula, c: float = 1.345, max_iter: int = 50, tol: fl
     try:
         m = fit_ols(d)
         beta, used, x, y = m.coef, 0, d.x(), F.col("y")
+        middle, near = None, None
         for used in range(1, max_iter + 1):
             e = y - d.linear(beta)
-            scale = max(float(d.df.agg(F.percentile(F.abs(e), 0.5)).first()[0]) / 0.6745, 1e-12)
+            before, (middle,) = middle, percentiles(d.df, F.abs(e), [0.5], near)
+            # the next median lies near: the steps shrink
+            near = None if before is None else (middle - 2 * abs(middle - before) - 1e-5 * middle, middle + 2 * abs(middle - before) + 1e-5 * middle)
+            scale = max(middle / 0.6745, 1e-12)
             w = F.when(F.abs(e) <= c * scale, 1.0).otherwise(c * scale / F.abs(e))
             g, _ = cross(d.df, [*x, y], weight=w)
             new, _ = solve_spd(g[:-1, :-1], g[:-1, -1])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import glm, linear, panel, timeseries
+from statloom.plans import gram
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +63,15 @@ def test_huber(df, data):
     assert x.T @ np.clip(e / scale, -1.345, 1.345) == pytest.approx(np.zeros(3), abs=1e-3)
 
 
+@pytest.mark.parametrize("near", [None, (0.4, 0.6), (5.0, 6.0)])
+def test_percentiles(spark, near):
+    """Exact with ties, gaps and a guess that misses; no hash table of all values."""
+    v = np.round(np.random.default_rng(3).exponential(size=20_000), 3)
+    rows = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    q = [0.5] if near else [0.0, 0.001, 0.37, 0.5, 0.999, 1.0]
+    assert gram.percentiles(rows, F.col("v"), q, near) == pytest.approx(list(np.quantile(v, q)), abs=1e-12)
+
+
 def test_recursive(df, data):
     got = linear.recursive_ols(df, "y", ["x"], "t").orderBy("ord").toPandas()
     x, y = matrix(data, "x"), data["y"].to_numpy()
