@@ -72,6 +72,20 @@ def test_percentiles(spark, near):
     assert gram.percentiles(rows, F.col("v"), q, near) == pytest.approx(list(np.quantile(v, q)), abs=1e-12)
 
 
+def test_quantile_by_bands(spark, monkeypatch):
+    """A band of few rows gives what all rows give, in few passes over them."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 50, 3000).astype(float)
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, 3 + 0.1 * x + rng.standard_t(3, 3000), strict=True)], "x double, y double").cache()
+    whole = linear.quantile(rows, "y ~ x", 0.3)
+    calls = []
+    monkeypatch.setattr(linear, "NEAR", 900)
+    monkeypatch.setattr(linear, "cross", lambda *a, **k: calls.append(1) or gram.cross(*a, **k))
+    m = linear.quantile(rows, "y ~ x", 0.3)
+    assert m.converged and whole.converged and len(calls) < 20
+    assert m.coef == pytest.approx(whole.coef, abs=1e-5)
+
+
 def test_recursive(df, data):
     got = linear.recursive_ols(df, "y", ["x"], "t").orderBy("ord").toPandas()
     x, y = matrix(data, "x"), data["y"].to_numpy()
