@@ -4,6 +4,8 @@ and long texts, repeated rows, exact and near copies, shared passages and secret
 import hashlib
 import pathlib
 import random
+import sys
+import subprocess
 import re
 import time
 import zlib
@@ -392,6 +394,33 @@ def test_jaccard_frees_its_disk(spark, docs):
     assert got.count() == docs.count()  # nothing of what went is read again
 
 
+def test_jaccard_workers_stay_small():
+    """What the first pass takes beside its texts, and what it keeps when it is over."""
+    code = """if True:
+        import re, numpy as np, pyarrow as pa
+        from statloom.llm import common, jaccard_join
+        size = lambda k: int(re.search(k + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+        draw = np.random.default_rng(3)
+        words = np.array([f"w{k}" for k in range(50000)])
+        texts = [" ".join(draw.choice(words, 160)) for _ in range(30000)]
+        text = pa.array(texts)
+        del texts
+        batch = pa.RecordBatch.from_arrays([pa.array(range(30000)), text, pa.array(range(30000))], ["doc_id", "text", "th"])
+        step = max(1, 30000 * common.BATCH_BYTES // text.nbytes)
+        common.give_back() if hasattr(common, "give_back") else None
+        open("/proc/self/clear_refs", "w").write("5")
+        before = size("VmHWM")
+        run = getattr(common, "freeing", lambda f: f)(jaccard_join._first_pass(5, 80, 64))
+        for _ in run(batch.slice(k, step) for k in range(0, 30000, step)):
+            pass
+        del _
+        print(text.nbytes >> 20, size("VmHWM") - before, size("VmRSS") - before)
+    """
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=pathlib.Path(__file__).parents[2], timeout=120)
+    mb, most, kept = map(int, said.stdout.split())
+    assert mb > 20 and most < 110 and kept < 40, (mb, most, kept, said.stderr)
+
+
 def test_written_tables_leave_no_shuffles(spark):
     def shuffled():
         folders = spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()
