@@ -394,6 +394,21 @@ def test_jaccard_frees_its_disk(spark, docs):
     assert got.count() == docs.count()  # nothing of what went is read again
 
 
+def test_jaccard_writes_no_prefixes(spark, docs, monkeypatch):
+    """Packed prefixes lie in their shuffle alone, not in a table as well."""
+    kinds, write = set(), jaccard_join.materialize
+
+    def spy(df, tag):
+        out = write(df, tag)
+        if tag == "sets":
+            kinds.update(r["kind"] for r in out.select("kind").distinct().collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", spy)
+    jaccard_join.join_classes(docs)
+    assert kinds == {jaccard_join._ROW, jaccard_join._COUNT}
+
+
 def test_jaccard_workers_stay_small():
     """What the first pass takes beside its texts, and what it keeps when it is over."""
     code = """if True:
@@ -421,6 +436,16 @@ def test_jaccard_workers_stay_small():
     assert mb > 20 and most < 110 and kept < 40, (mb, most, kept, said.stderr)
 
 
+def test_jaccard_deals_out_few_texts(spark):
+    """Texts that no set stands for stay where they are; those that are wanted all go on."""
+    texts = spark.range(5000).select(F.when(F.col("id") > 9, F.col("id")).alias("doc_id"), F.lit("x").alias("text"), F.xxhash64("id").alias("th"))
+    able = texts.select(F.col("doc_id").alias("rid"), F.col("th").alias("rth")).sample(0.05, 7).unionByName(texts.limit(2).select(F.col("doc_id").alias("rid"), F.col("th").alias("rth")))
+    for most in (1 << 18, 1):
+        kept = {tuple(r) for r in jaccard_join._perhaps(texts, able, most).select("doc_id", "th").collect()}
+        assert kept >= {tuple(r) for r in able.collect()} and (len(kept) < 1000 or most == 1)
+    assert jaccard_join._perhaps(texts, able.limit(0)).count() == 0
+
+
 def test_written_tables_leave_no_shuffles(spark):
     def shuffled():
         folders = spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()
